@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, quality, sharding, simhash, url_filter
+from . import bpe, decontam, html_text, images, pii, quality, sharding, simhash, url_filter, warc
 from .common import table
 
 #: Rules (host, path) of op1, and the hosts it blocks where no rule fits.
@@ -39,6 +39,19 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model, keep_text=False)
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images drawn from the vectors; every twentieth, cropped and brightened, is sought among all."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").filter("vec_id is not null")
+    drawn, edited = images.draw(vectors, "vec_id", "embedding"), images.draw(vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding", edit=True)
+    return images.image_copies(edited, drawn)
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    out = pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.col("entities.type"))), ",").alias("types"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot; shards are near equal in bytes."""
     rows, dims = sharding.documents_metadata(table(spark, sf_dir, "documents"))
@@ -63,6 +76,20 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page captures as archive records, a third of them revisits, each resolved to its earlier response."""
+    out = warc.resolve_revisits(archive_records(table(spark, sf_dir, "pages")))
+    return out.select(F.col("record_id").alias("page_id"), "canonical_url", "match_id", "validation", F.coalesce(F.size("merged_headers"), F.lit(-1)).alias("n_headers"))
+
+
+def archive_records(pages: DataFrame) -> DataFrame:
+    """Records from pages: one every ten minutes; every third is a 304; validators follow from the canonical URL, and change for every seventh."""
+    n, name = F.col("page_id"), F.md5(F.coalesce(warc.canonical_url(F.col("url")), F.lit("")))
+    tag = F.concat(F.when(n % 3 == 0, "W/").otherwise(""), F.lit('"'), F.substring(name, 1, 8), F.when(n % 7 == 0, "x").otherwise(""), F.lit('"'))
+    fields = F.create_map(F.lit("etag"), F.when(n % 5 != 0, tag), F.lit("last-modified"), F.when(n % 4 != 0, F.substring(name, 9, 8)), F.lit("content-type"), F.lit("text/html"), F.lit("date"), n.cast("string"))
+    return pages.select(n.alias("record_id"), "url", F.timestamp_seconds(1_700_000_000 + n * 600).alias("at"), (n % 3 != 0).alias("is_full"), F.map_filter(fields, lambda k, v: v.isNotNull()).alias("headers"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text."""
     small_batches(spark)
@@ -77,7 +104,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filters, op2_quality, op5_sharding, op6_decontamination, op7_bpe, op9_html_text, op10_simhash)
+    found = (op1_url_filters, op2_quality, op3_image_copies, op4_pii_surrogates, op5_sharding, op6_decontamination, op7_bpe, op8_revisits, op9_html_text, op10_simhash)
     return {f.__name__: f for f in found}
 
 
@@ -123,5 +150,38 @@ from d left join words using (doc_id) left join items using (doc_id)
 """
 
 
+_OP8 = r"""
+with c as (
+  select page_id, trim(url, ' ') as u, regexp_replace(regexp_replace(trim(url, ' '), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') as plain
+  from pages),
+k as (
+  select page_id,
+    case when length(u) > 0 then regexp_replace(lower(regexp_extract(plain, '^([^/?]*)', 1)), '^(?:www|m)\.|:(?:80|443)$', '', 'g')
+      || regexp_replace(regexp_extract(plain, '^[^/?]*([^?]*)', 1), '/+$', '')
+      || coalesce((select '?' || string_agg(p, '&' order by p) from (select unnest(string_split(regexp_extract(plain, '\?(.*)$', 1), '&')) as p)
+        where p <> '' and not regexp_matches(lower(p), '^(?:utm_[^=]*|ref|fbclid|gclid|sessionid|sid)(?:=|$)')), '') end as canonical_url
+  from c),
+r as (
+  select page_id, canonical_url, page_id % 3 <> 0 as is_full, md5(coalesce(canonical_url, '')) as name,
+    case when page_id % 5 <> 0 then '"' || substring(md5(coalesce(canonical_url, '')), 1, 8) || case when page_id % 7 = 0 then 'x' else '' end || '"' end as etag,
+    case when page_id % 4 <> 0 then substring(md5(coalesce(canonical_url, '')), 9, 8) end as modified
+  from k),
+m as (
+  select v.*, f.page_id as f_id, f.etag as f_etag, f.modified as f_modified,
+    case when v.is_full and v.canonical_url is not null then 'full' when f.page_id is null then 'unmatched'
+      when v.etag is not null and f.etag is not null then case when v.etag = f.etag then 'etag' else 'mismatch' end
+      when v.modified is not null and f.modified is not null then case when v.modified = f.modified then 'last-modified' else 'mismatch' end
+      else 'unvalidated' end as validation
+  from r v left join (
+    select a.page_id as of_id, max(b.page_id) as page_id from r a join r b on a.canonical_url = b.canonical_url and b.page_id < a.page_id and b.is_full and not a.is_full group by a.page_id) x
+    on x.of_id = v.page_id left join r f on f.page_id = x.page_id)
+select page_id, canonical_url, case when validation in ('etag', 'last-modified', 'unvalidated') then f_id end as match_id, validation,
+  case when validation = 'full' then 2 + (etag is not null)::int + (modified is not null)::int
+    when validation in ('etag', 'last-modified', 'unvalidated') then 2 + (coalesce(etag, f_etag) is not null)::int + (coalesce(modified, f_modified) is not null)::int
+    else -1 end as n_headers
+from m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _OP1, "op6_decontamination": _OP6}
+    return {"op1_url_filters": _OP1, "op6_decontamination": _OP6, "op8_revisits": _OP8}
