@@ -1,0 +1 @@
+"""Analytics of machine-learning pipeline operations on Spark."""
