@@ -4,10 +4,10 @@ A text's fingerprint has a bit set where over half of its shingles' hashes have
 it. Fingerprints are joined with themselves as a binary trie: a pair of nodes
 is taken down together, a step into different children costs one bit of the
 Hamming budget, and a pair is pruned when the budget is spent. The trie is cut
-into nodes of bounded size over the whole corpus first; each pair of nodes that
-the budget lets meet is one group of the join, so a group is bounded whatever
-the rows are. Within a group only links that join two parts of it go out (a
-spanning forest), so a large group of near copies gives as many links as it has
+into nodes of bounded size over the whole corpus first; a node and those that
+the budget lets it meet are one group of the join, so a group is bounded
+whatever the rows are. Within a group only links that join two parts of it go
+out (a spanning forest), so a large group of near copies gives as many links as it has
 members. Components are found by contracting those links until none is left.
 
 Defined results: null and empty texts, and those of white space only, have no
@@ -25,14 +25,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel  # noqa: F401 - documents that nothing here is cached
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, skewed_left_join
 
 #: Rows in a node of the cut trie at least, and nodes in a cut at most; the larger one of the two decides.
-NODE_ROWS, NODES = 1 << 15, 1 << 12
+NODE_ROWS, NODES = 1 << 13, 1 << 12
+#: The same for nodes whose rows carry sketches.
+SKETCH_NODE_ROWS = 1 << 18
 #: Pairs of fingerprints compared at once at the foot of the trie.
 LEAF_PAIRS = 1 << 14
 #: Shingles hashed and counted at once.
@@ -213,28 +214,29 @@ def trie_cut(keys: DataFrame, key: str, trie: str, bits: int, rows: int) -> list
         open_ = keys.sparkSession.createDataFrame([(t, p) for t, p in sorted(size)], f"_t {keys.schema[trie].dataType.simpleString()}, _p bigint")
 
 
-def node_pairs(nodes: list[tuple[int, int, int]], budget: int) -> list[list[tuple[int, int]]]:
-    """For each node the pairs it belongs to, as (pair, side): all that differ in ``budget`` bits at most over their common depth."""
-    out: list[list[tuple[int, int]]] = [[] for _ in nodes]
+def node_homes(nodes: list[tuple[int, int, int]], budget: int) -> list[list[tuple[int, int]]]:
+    """For each node the groups it goes to, as (group, side): its own on side 0, and on side 1 those of nodes it has to meet.
+
+    Two nodes meet if they differ in ``budget`` bits at most over their common
+    depth, in the group of one of them; which one alternates, so that groups are even.
+    """
+    out: list[list[tuple[int, int]]] = [[(n, 0)] for n in range(len(nodes))]
     by_trie: dict[int, list[int]] = {}
     for n, (t, _, _) in enumerate(nodes):
         by_trie.setdefault(t, []).append(n)
-    pair = 0
     for members in by_trie.values():
         prefix = np.array([nodes[n][1] for n in members], dtype=np.uint64)
         depth = np.array([nodes[n][2] for n in members], dtype=np.uint64)
         for a, n in enumerate(members):
             d = np.minimum(depth[a:], depth[a])
             differ = np.bitwise_count(prefix[a:] >> (depth[a:] - d) ^ prefix[a] >> (depth[a] - d))
-            for b in np.flatnonzero(differ <= budget).tolist():
-                out[n].append((pair, 0))
-                if b:
-                    out[members[a + b]].append((pair, 1))
-                pair += 1
+            for b in np.flatnonzero(differ <= budget)[1:].tolist():
+                home, other = (n, members[a + b]) if b % 2 else (members[a + b], n)
+                out[other].append((home, 1))
     return out
 
 
-def trie_self_join(keys: DataFrame, bits: int, budget: int, sketch: str | None = None, most: int = 0) -> DataFrame:
+def trie_self_join(keys: DataFrame, bits: int, budget: int, sketch: str | None = None, most: int = 0, node_rows: int = NODE_ROWS) -> DataFrame:
     """Links (a, b) between rows of ``keys`` (id long, trie int, key long) whose keys differ in ``budget`` bits at most.
 
     The highest ``bits`` of a key count. With ``sketch`` (a binary column of
@@ -246,15 +248,15 @@ def trie_self_join(keys: DataFrame, bits: int, budget: int, sketch: str | None =
     total = keys.count()
     if not total:
         return spark.createDataFrame([], schema)
-    nodes = trie_cut(keys, "key", "trie", bits, max(NODE_ROWS, total // NODES))
+    nodes = trie_cut(keys, "key", "trie", bits, max(node_rows, total // NODES))
     starts = np.array([(t, (p << (64 - d)) & (2**64 - 1)) for t, p, d in ((t, p & (2**d - 1), d) for t, p, d in nodes)], dtype=object)
     order = sorted(range(len(nodes)), key=lambda n: (starts[n][0], starts[n][1]))
     nodes = [(nodes[n][0], nodes[n][1] & (2 ** nodes[n][2] - 1), nodes[n][2]) for n in order]
-    sent = spark.sparkContext.broadcast((np.array([t for t, _, _ in nodes]), np.array([p << (64 - d) for _, p, d in nodes], dtype=np.uint64), node_pairs(nodes, budget)))
+    sent = spark.sparkContext.broadcast((np.array([t for t, _, _ in nodes]), np.array([p << (64 - d) for _, p, d in nodes], dtype=np.uint64), node_homes(nodes, budget)))
     columns = ["id", "key"] + ([sketch] if sketch else [])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, first, pairs = sent.value
+        tries, first, homes = sent.value
         bounds = {int(t): (int(np.searchsorted(tries, t)), int(np.searchsorted(tries, t, "right"))) for t in np.unique(tries)}
         for batch in batches:
             key = batch.column("key").to_numpy().astype(np.int64).view(np.uint64)
@@ -263,12 +265,12 @@ def trie_self_join(keys: DataFrame, bits: int, budget: int, sketch: str | None =
             for t in np.unique(trie).tolist():
                 lo, hi = bounds[t]
                 node[trie == t] = lo + np.searchsorted(first[lo:hi], key[trie == t], "right") - 1
-            places = [pairs[n] for n in node.tolist()]
+            places = [homes[n] for n in node.tolist()]
             take = np.repeat(np.arange(len(key)), [len(p) for p in places])
             flat = [x for p in places for x in p]
             for i in range(0, len(take), 1 << 16):
                 rows = batch.select(columns).take(pa.array(take[i : i + (1 << 16)]))
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in flat[i : i + (1 << 16)]], pa.int64()), pa.array([s for _, s in flat[i : i + (1 << 16)]], pa.int8()), *rows.columns], names=["pair", "side", *columns])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in flat[i : i + (1 << 16)]], pa.int64()), pa.array([s for _, s in flat[i : i + (1 << 16)]], pa.int8()), *rows.columns], names=["home", "side", *columns])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = []
@@ -279,25 +281,23 @@ def trie_self_join(keys: DataFrame, bits: int, budget: int, sketch: str | None =
             more = np.frombuffer(b"".join(one[sketch]), dtype=np.uint64).reshape(len(one), -1)[o] if sketch and len(one) else None
             sides.append((k[o], one["id"].to_numpy()[o], more))
         (ka, ia, sa), (kb, ib, sb) = sides
-        own = not len(kb) and not (pdf["side"] == 1).any()
-        if own:
-            kb, ib, sb = ka, ia, sa
-        forest = Forest(len(ia) if own else len(ia) + len(ib))
-        shift = 0 if own else len(ia)
-
-        def found(i: np.ndarray, j: np.ndarray) -> None:
-            if sketch:
-                near = np.bitwise_count(sa[i] ^ sb[j]).sum(1, dtype=np.int64) <= most
-                i, j = i[near], j[near]
-            forest.add(i, j + shift)
-
-        trie_links(ka, None if own else kb, bits, budget, found)
-        ids = ia if own else np.concatenate((ia, ib))
+        forest = Forest(len(ia) + len(ib))
+        for k, more, shift in ((None, sa, 0), (kb, sb, len(ia))):
+
+            def found(i: np.ndarray, j: np.ndarray, more=more, shift=shift) -> None:
+                if sketch:
+                    near = np.bitwise_count(sa[i] ^ more[j]).sum(1, dtype=np.int64) <= most
+                    i, j = i[near], j[near]
+                forest.add(i, j + shift)
+
+            if len(ka) and (k is None or len(k)):
+                trie_links(ka, k, bits, budget, found)
+        ids = np.concatenate((ia, ib))
         links = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
 
-    dealt = keys.select("id", "trie", "key", *([sketch] if sketch else [])).mapInArrow(deal, f"pair bigint, side tinyint, id bigint, key bigint{', ' + sketch + ' binary' if sketch else ''}")
-    return dealt.groupBy("pair").applyInPandas(join, schema)
+    dealt = keys.select("id", "trie", "key", *([sketch] if sketch else [])).mapInArrow(deal, f"home bigint, side tinyint, id bigint, key bigint{', ' + sketch + ' binary' if sketch else ''}")
+    return dealt.groupBy("home").applyInPandas(join, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -382,5 +382,5 @@ def near_copies(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(n, t, dtype=np.int32)), pa.array(key.view(np.int64)), sketches], names=["id", "trie", "key", "sketch"])
 
     keys = classes.filter("rep is not null").select(F.col("rep").alias("id"), "sketch").mapInArrow(tries, "id bigint, trie int, key bigint, sketch binary")
-    links = trie_self_join(cut(keys, "keys"), KEY_BITS, KEY_BUDGET, "sketch", similarity_to_bits(COPY_SIMILARITY, SKETCH_BITS))
+    links = trie_self_join(cut(keys, "keys"), KEY_BITS, KEY_BUDGET, "sketch", similarity_to_bits(COPY_SIMILARITY, SKETCH_BITS), SKETCH_NODE_ROWS)
     return _with_component(prints, classes, links, id_, "sketch").select(F.col(id_), "component_id")
