@@ -36,10 +36,12 @@ NODE_ROWS, NODES = 1 << 13, 1 << 12
 SKETCH_NODE_ROWS = 1 << 18
 #: Pairs of fingerprints compared at once at the foot of the trie.
 LEAF_PAIRS = 1 << 14
+#: Links that wait in a group before they are reduced to a forest.
+PENDING = 1 << 21
 #: Shingles hashed and counted at once.
 CHUNK = 1 << 15
-#: Near copies on word shingles: words in a shingle, similarity, bits of a sketch, bits of a trie's key, tries, differing bits in a key.
-COPY_WORDS, COPY_SIMILARITY, SKETCH_BITS, KEY_BITS, TRIES, KEY_BUDGET = 5, 0.8, 512, 26, 24, 2
+#: Near copies on word shingles: words in a shingle, similarity, the estimate from which it is checked, bits of a sketch, bits of a trie's key, tries, differing bits in a key.
+COPY_WORDS, COPY_SIMILARITY, CANDIDATE_SIMILARITY, SKETCH_BITS, KEY_BITS, TRIES, KEY_BUDGET = 5, 0.8, 0.6, 512, 26, 24, 2
 
 
 def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -123,35 +125,56 @@ def with_fingerprint(df: DataFrame, size: int = 3, width: int = 1, text: str = "
 
 
 class Forest:
-    """Joined parts of 0..n-1; keeps the links that joined two parts."""
+    """A spanning forest of links between 0..n-1 of least total distance.
+
+    Links come in blocks. When more than PENDING wait, the forest so far and the
+    waiting links are reduced to the forest of both, so memory is bounded.
+    """
 
     def __init__(self, n: int):
-        self.root = np.arange(n)
-        self.links: list[tuple[int, int]] = []
-
-    def _find(self, x: int) -> int:
-        root = self.root
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
-            for _ in range(2):
-                self.root = self.root[self.root]
-            apart = self.root[i] != self.root[j]
-            i, j = i[apart], j[apart]
-            for a, b in zip(i[:256].tolist(), j[:256].tolist(), strict=True):
-                x, y = self._find(a), self._find(b)
+        self.n = n
+        self.links = np.zeros((0, 3), dtype=np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.count = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> None:
+        if len(i):
+            self.waiting.append(np.column_stack((i, j, distance)))
+            self.count += len(i)
+            if self.count > PENDING:
+                self.reduce()
+
+    def reduce(self) -> np.ndarray:
+        """The forest's links (i, j, distance)."""
+        links = np.concatenate([self.links, *self.waiting])
+        links = links[np.argsort(links[:, 2], kind="stable")]
+        root, kept, at = np.arange(self.n), [], 0
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        step = 256
+        while at < len(links):
+            while not np.array_equal(up := root[root], root):
+                root[:] = up
+            rest = links[at:]
+            apart = rest[root[rest[:, 0]] != root[rest[:, 1]]]
+            for a, b, d in apart[:step].tolist():
+                x, y = find(a), find(b)
                 if x != y:
-                    self.root[max(x, y)] = min(x, y)
-                    self.links.append((a, b))
-            i, j = i[256:], j[256:]
+                    root[max(x, y)] = min(x, y)
+                    kept.append((a, b, d))
+            links, at = apart[step:], 0
+            step = min(step * 2, 1 << 14)
+        self.links, self.waiting, self.count = np.array(kept, dtype=np.int64).reshape(-1, 3), [], 0
+        return self.links
 
 
 def trie_links(left: np.ndarray, right: np.ndarray | None, bits: int, budget: int, found) -> None:
-    """Calls ``found(i, j)`` with the places of keys of at most ``budget`` differing bits.
+    """Calls ``found(i, j, differing)`` with the places of keys of at most ``budget`` differing bits.
 
     ``left`` and ``right`` are sorted 64-bit keys whose highest ``bits`` count;
     without ``right``, ``left`` is joined with itself.
@@ -168,12 +191,14 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, bits: int, budget: in
         if depth == bits or (ah - al) * (bh - bl) <= LEAF_PAIRS:
             step = max(1, LEAF_PAIRS * 16 // (bh - bl))
             for at in range(al, ah, step):
-                i, j = np.nonzero(np.bitwise_count((left[at : min(ah, at + step), None] ^ b[None, bl:bh]) & mask) <= budget)
+                differ = np.bitwise_count((left[at : min(ah, at + step), None] ^ b[None, bl:bh]) & mask)
+                i, j = np.nonzero(differ <= budget)
+                d = differ[i, j]
                 i, j = i + at, j + bl
                 if same:
-                    i, j = i[i < j], j[i < j]
+                    i, j, d = i[i < j], j[i < j], d[i < j]
                 if len(i):
-                    found(i, j)
+                    found(i, j, d)
             continue
         shift = np.uint64(63 - depth)
         head = (left[al] >> shift | np.uint64(1)) << shift
@@ -241,7 +266,8 @@ def trie_self_join(keys: DataFrame, bits: int, budget: int, sketch: str | None =
 
     The highest ``bits`` of a key count. With ``sketch`` (a binary column of
     ``keys``), a link also needs at most ``most`` differing bits of it. The
-    links that come back connect what all links connect.
+    links that come back connect what all links connect; of each group's links
+    they are a forest of the nearest ones.
     """
     spark = keys.sparkSession
     schema = "a bigint, b bigint"
@@ -284,16 +310,16 @@ def trie_self_join(keys: DataFrame, bits: int, budget: int, sketch: str | None =
         forest = Forest(len(ia) + len(ib))
         for k, more, shift in ((None, sa, 0), (kb, sb, len(ia))):
 
-            def found(i: np.ndarray, j: np.ndarray, more=more, shift=shift) -> None:
+            def found(i: np.ndarray, j: np.ndarray, d: np.ndarray, more=more, shift=shift) -> None:
                 if sketch:
-                    near = np.bitwise_count(sa[i] ^ more[j]).sum(1, dtype=np.int64) <= most
-                    i, j = i[near], j[near]
-                forest.add(i, j + shift)
+                    d = np.bitwise_count(sa[i] ^ more[j]).sum(1, dtype=np.int64)
+                    i, j, d = i[d <= most], j[d <= most], d[d <= most]
+                forest.add(i, j + shift, d)
 
             if len(ka) and (k is None or len(k)):
                 trie_links(ka, k, bits, budget, found)
         ids = np.concatenate((ia, ib))
-        links = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
+        links = forest.reduce()
         return pd.DataFrame({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
 
     dealt = keys.select("id", "trie", "key", *([sketch] if sketch else [])).mapInArrow(deal, f"home bigint, side tinyint, id bigint, key bigint{', ' + sketch + ' binary' if sketch else ''}")
@@ -356,15 +382,34 @@ def similarity_to_bits(similarity: float, bits: int) -> int:
     return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
+def alike(df: DataFrame, pairs: DataFrame, id_: str, text: str) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets are alike to COPY_SIMILARITY or more."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(x.as_py(), COPY_WORDS)])).view(np.int64) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    sets = cut(texts.mapInArrow(run, "id bigint, shingles array<bigint>"), "shingles")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - shared
+    return both.filter((shared >= COPY_SIMILARITY * union) & (union > 0)).select("a", "b")
+
+
 def near_copies(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, component_id): documents whose word shingles are alike to COPY_SIMILARITY or more, by SimHash's estimate.
+    """(id, component_id): documents linked by word shingles alike to COPY_SIMILARITY or more (Jaccard, of their sets).
 
     A sketch of SKETCH_BITS sign bits estimates the angle between two shingle
     counts, and so their similarity. TRIES tries, each over KEY_BITS bits of the
     sketch drawn by rule, are joined with KEY_BUDGET differing bits; what they
-    bring together is linked if the sketches agree. A link is found unless it
-    misses every trie: at similarity 0.8 that is expected of under 1 in 200, at
-    0.9 of under 1 in 10,000.
+    bring together, if the sketches agree to CANDIDATE_SIMILARITY, is a
+    candidate. The nearest candidates that connect each group of a trie (fewer
+    than its documents) are checked exactly on their whole shingle sets. At
+    similarity 0.8 a pair is expected to miss every trie once in 200 times, at
+    0.9 once in 10,000.
     """
     width = SKETCH_BITS // 64
     prints = cut(with_fingerprint(df.select(F.col(id_), F.col(text)), COPY_WORDS, width, text, "sketch"), "sketches")
@@ -382,5 +427,6 @@ def near_copies(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(n, t, dtype=np.int32)), pa.array(key.view(np.int64)), sketches], names=["id", "trie", "key", "sketch"])
 
     keys = classes.filter("rep is not null").select(F.col("rep").alias("id"), "sketch").mapInArrow(tries, "id bigint, trie int, key bigint, sketch binary")
-    links = trie_self_join(cut(keys, "keys"), KEY_BITS, KEY_BUDGET, "sketch", similarity_to_bits(COPY_SIMILARITY, SKETCH_BITS), SKETCH_NODE_ROWS)
+    links = trie_self_join(cut(keys, "keys"), KEY_BITS, KEY_BUDGET, "sketch", similarity_to_bits(CANDIDATE_SIMILARITY, SKETCH_BITS), SKETCH_NODE_ROWS)
+    links = alike(df, cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates"), id_, text)
     return _with_component(prints, classes, links, id_, "sketch").select(F.col(id_), "component_id")
