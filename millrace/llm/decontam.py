@@ -15,8 +15,8 @@ are used.
 Defined results: null, empty and wordless texts have no words and no hits; an
 item without words has no window; an item shorter than a window is one window;
 repeated rows, of documents or items, are judged each on its own; with an empty
-benchmark or empty documents nothing is hit. Items with null ids count as items
-and are left out of the id list.
+benchmark or empty documents nothing is hit. Items of one id are one item in
+the count and the list; items with null ids hit words and are in neither.
 """
 
 from __future__ import annotations
@@ -138,11 +138,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     rare = anchors.select("term").distinct()
     index = cut(build_index(docs, rare, rare.count(), window - 1, id_, text), "index")
     matches = phrase_matches(index.filter("term <> ''"), anchors, anchors.count())
-    found = matches.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("item").alias("found"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    found = matches.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     rows = index.filter("term = ''").select("row", F.col("id").alias(id_), F.col("pos").cast("bigint").alias("n_words"))
     out = rows.join(found, "row", "left")
     none = F.array().cast("array<string>")
-    return out.select(id_, "n_words", _covered("spans").alias("n_hit"), F.coalesce(F.size("found"), F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("items", none).alias("items"), "spans")
+    return out.select(id_, "n_words", _covered("spans").alias("n_hit"), F.size(F.coalesce("items", none)).cast("bigint").alias("n_items"), F.coalesce("items", none).alias("items"), "spans")
 
 
 def _covered(spans: str) -> Column:
