@@ -36,13 +36,13 @@ BLOCKS = frozenset(
 )
 SKIPPED = frozenset("aside audio button canvas datalist dialog footer form header iframe input math menu nav noscript object option script select style svg template textarea title video".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Parts of class names and ids of sections that aren't content, and parts that speak against that.
+#: Parts of class names and ids of sections that aren't content, and parts that say a name isn't one of such a section.
 ASIDES = frozenset(
     "ad ads adbox adslot adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright "
     "discussion disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promoted promotion "
     "recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
 )
-CONTENT = frozenset("article body content entry has layout main no page post story text with without wrapper".split())
+NOT_ASIDE = frozenset("category format has layout no status tag type with without".split())
 KEEPS = frozenset("html body main article".split())
 _SPLIT, _BLANK = re.compile(r"[^a-z0-9]+"), re.compile(r"\s+")
 
@@ -62,7 +62,7 @@ def is_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if name in ("class", "id"):
             for one in value.split():
                 parts = set(_SPLIT.split(one))
-                if parts & ASIDES and not parts & CONTENT:
+                if parts & ASIDES and not parts & NOT_ASIDE:
                     return True
     return False
 

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from millrace.llm.html_text import extract_text, main_text
+from millrace.llm.html_text import extract_text, is_aside, main_text
 
 ARTICLE = "<article><h1>Title &amp; more</h1><p><b>First long paragraph with many words in it for the ratio.<br><p>Second one,\n  wrapped   text &eacute;&#39;s.</p><ul><li>one<li>two</ul><p>End.</p></article>"
 TEXT = "Title & more First long paragraph with many words in it for the ratio. Second one, wrapped text é's. one two End."
@@ -33,6 +33,14 @@ def test_all_noise_without_article():
     assert main_text(f"<body>{body}") == TEXT
 
 
+def test_class_names():
+    aside = ["article-comments", "page-header", "main-nav", "ad-content", "reader_comments", "post footer", "cookieConsent cookie-bar"]
+    content = ["post-content", "with-sidebar", "no-ads", "layout-sidebar-right", "category-social", "commentary", "address", "download"]
+    page = lambda name: main_text(f"<body><div class='{name}'><p>Words in the section</p></div><div class='entry'><p>The words of the article, which are many more</p></div>")
+    assert [page(n) for n in aside] == ["The words of the article, which are many more"] * len(aside)
+    assert all(is_aside("div", [("class", n)]) is False for n in content)
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", "plain &lt; text", "<nav>only</nav>", "<p>a<p>b", "<div class='x'")] == ["", "", "plain < text", "", "a b", "<div class='x'"]
     assert main_text("<p>" + "word " * 50_000 + "</p>").count("word") == 50_000
