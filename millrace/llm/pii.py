@@ -21,6 +21,7 @@ extra columns pass through unless named like an output.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -68,9 +69,13 @@ def type_of(entity: Column) -> Column:
     return reduce(lambda out, t: F.when(entity.rlike(f"^(?:{t[1]})$"), t[0]).otherwise(out), reversed(TYPES), F.lit("other"))
 
 
-def canonical(entity: Column) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, whatever number of times it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def canonical(entity: Column, kind: Column) -> Column:
     """What makes two spellings one entity: letters and digits alone, lower-cased; a name without its title; a secret without its label."""
-    kind = type_of(entity)
     digits = F.regexp_replace(entity, r"[^0-9]", "")
     plain = F.when(kind == "email", F.lower(entity)).when(kind.isin("phone", "card", "ssn"), digits)
     plain = plain.when(kind == "name", F.regexp_replace(entity, r"^\S+ ", "")).when(kind == "secret", F.regexp_replace(entity, _PREFIX, ""))
@@ -88,18 +93,14 @@ def _stream(seed: Column, blocks: int = 3) -> Column:
 
 def _shaped(entity: Column, seed: Column) -> Column:
     """``entity`` with each letter and digit drawn anew, of its kind and by its number among them; other characters stay."""
-    stream = _stream(seed)
-    value = lambda i: F.conv(F.substr(stream, F.pmod(i * 2, F.lit(188)) + 1, F.lit(2)), 16, 10).cast("int")
-    draw = lambda letters, i: F.substr(F.lit(letters), F.pmod(value(i), F.lit(len(letters))) + 1, F.lit(1))
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    one = lambda c, i: F.when(c.rlike("^[0-9]$"), draw(digits, i)).when(c.rlike("^[a-z]$"), draw(lower, i)).when(c.rlike("^[A-Z]$"), draw(upper, i)).otherwise(c)
-    before = lambda i: F.length(F.regexp_replace(F.substr(entity, F.lit(1), i), "[^0-9A-Za-z]", ""))
-    return F.array_join(F.transform(F.split(entity, ""), lambda c, i: one(c, before(i))), "")
-
-
-def _shaped_hex(entity: Column, seed: Column) -> Column:
-    """Like ``_shaped`` for a string of lower-case hexadecimal digits, which stays one."""
-    return F.when(entity.rlike("^[0-9a-f]+$"), F.substr(_stream(seed), F.lit(1), F.length(entity))).otherwise(_shaped(entity, seed))
+    # the n-th letter or digit takes the n-th two digits of the stream
+    at = lambda i: F.pmod(2 * F.length(F.regexp_replace(F.substr(entity, F.lit(1), i), "[^0-9A-Za-z]", "")), F.lit(188))
+    pick = lambda letters, v: F.substr(F.lit(letters), F.pmod(v, F.lit(len(letters))) + 1, F.lit(1))
+    kind = lambda c, v: F.when(c.between("0", "9"), pick(digits, v)).when(c.between("a", "z"), pick(lower, v)).otherwise(pick(upper, v))
+    value = lambda stream, i: F.conv(F.substr(stream, at(i) + 1, F.lit(2)), 16, 10).cast("int")
+    one = lambda stream: lambda c, i: F.when(c.rlike("^[0-9A-Za-z]$"), _let(value(stream, i), lambda v: kind(c, v))).otherwise(c)
+    return _let(_stream(seed), lambda stream: F.array_join(F.transform(F.split(entity, ""), one(stream)), ""))
 
 
 def _luhn_sum(digits: Column, first_doubled: bool) -> Column:
@@ -109,11 +110,11 @@ def _luhn_sum(digits: Column, first_doubled: bool) -> Column:
 
 
 def _card(entity: Column, seed: Column) -> Column:
-    plain = F.regexp_replace(entity, r"[^0-9]", "")
     drawn = F.concat(F.substring(entity, 1, 1), F.substr(_shaped(entity, seed), F.lit(2), F.length(entity) - 1))
-    head = F.substr(drawn, F.lit(1), F.length(drawn) - 1)
-    check = F.pmod(-_luhn_sum(F.regexp_replace(head, r"[^0-9]", ""), True), F.lit(10)).cast("string")
-    return F.when(F.pmod(_luhn_sum(plain, False), F.lit(10)) == 0, F.concat(head, check)).otherwise(drawn)
+    valid = F.pmod(_luhn_sum(F.regexp_replace(entity, r"[^0-9]", ""), False), F.lit(10)) == 0
+    check = lambda head: F.pmod(-_luhn_sum(F.regexp_replace(head, r"[^0-9]", ""), True), F.lit(10)).cast("string")
+    checked = lambda d: _let(F.substr(d, F.lit(1), F.length(d) - 1), lambda head: F.concat(head, check(head)))
+    return _let(drawn, lambda d: F.when(valid, checked(d)).otherwise(d))
 
 
 def _octets(seed: Column) -> Column:
@@ -127,29 +128,37 @@ def _pick(words: list[str], seed: Column, place: int) -> Column:
 
 def _name(entity: Column, key: str, draw: Column) -> Column:
     """Title kept; first of two parts by gender and script; the last from syllables. Each part follows from the part alone, so names that share a part still do."""
-    title, parts = F.substring_index(entity, " ", 1), F.slice(F.split(entity, " "), 2, 2)
-    female = F.regexp_replace(title, r"\.$", "").isin(*FEMALE)
-    first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
-    a, b = _hash(key, F.lit("first"), first, draw.cast("string")), _hash(key, F.lit("last"), last, draw.cast("string"))
-    cyrillic = last.rlike(r"\p{IsCyrillic}")
-    given = F.when(cyrillic, F.when(female, _pick(CYRILLIC_FEMALE, a, 1)).otherwise(_pick(CYRILLIC_MALE, a, 1))).otherwise(F.when(female, _pick(LATIN_FEMALE, a, 1)).otherwise(_pick(LATIN_MALE, a, 1)))
-    family = F.initcap(F.when(cyrillic, F.concat(*[_pick(CYRILLIC_SYLLABLES, b, 1 + 4 * k) for k in range(4)], F.when(female, "ова").otherwise("ов"))).otherwise(F.concat(*[_pick(LATIN_SYLLABLES, b, 1 + 4 * k) for k in range(4)])))
-    return F.when(F.size(parts) > 1, F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, family))
+    title, last = F.substring_index(entity, " ", 1), F.substring_index(entity, " ", -1)
+    female, cyrillic = F.regexp_replace(title, r"\.$", "").isin(*FEMALE), last.rlike(r"\p{IsCyrillic}")
+    two = F.size(F.split(entity, " ")) > 2
+
+    def given(h: Column) -> Column:
+        return F.when(cyrillic & female, _pick(CYRILLIC_FEMALE, h, 1)).when(cyrillic, _pick(CYRILLIC_MALE, h, 1)).when(female, _pick(LATIN_FEMALE, h, 1)).otherwise(_pick(LATIN_MALE, h, 1))
+
+    def family(h: Column) -> Column:
+        parts = lambda words: [_pick(words, h, 1 + 4 * k) for k in range(4)]
+        return F.initcap(F.when(cyrillic, F.concat(*parts(CYRILLIC_SYLLABLES), F.when(female, "ова").otherwise("ов"))).otherwise(F.concat(*parts(LATIN_SYLLABLES))))
+
+    first = F.get(F.split(entity, " "), F.lit(1))
+    new_first = F.when(two, _let(_hash(key, F.lit("first"), first, draw.cast("string")), given))
+    new_last = _let(_hash(key, F.lit("last"), last, draw.cast("string")), family)
+    return F.concat_ws(" ", title, new_first, new_last)
 
 
 def surrogate(entity: Column, key: str, draw: Column) -> Column:
     """The surrogate of an entity at its draw, 0 at first."""
-    kind = type_of(entity)
-    seed = _hash(key, kind, canonical(entity), draw.cast("string"))
-    label = F.regexp_extract(entity, _PREFIX, 1)
-    code = F.regexp_extract(entity, r"^(\+\d{1,3}(?=[ .\-(]))", 1)
-    out = F.when(kind == "email", F.concat(_shaped(F.substring_index(entity, "@", 1), seed), F.lit("@"), F.translate(F.substring(seed, 1, 10), "0123456789", "ghijklmnop"), F.lit(".example.org")))
-    out = out.when(kind == "aws_key", F.concat(F.lit("AKIA"), _shaped(F.substring(entity, 5, 16), seed)))
-    out = out.when(kind == "iban", F.concat(F.substring(entity, 1, 2), _shaped(F.substr(entity, F.lit(3), F.length(entity)), seed)))
-    out = out.when(kind == "phone", F.concat(code, _shaped(F.substr(entity, F.length(code) + 1, F.length(entity)), seed)))
-    out = out.when(kind == "card", _card(entity, seed)).when(kind == "ssn", _shaped(entity, seed)).when(kind == "ip", _octets(seed))
-    out = out.when(kind == "secret", F.concat(label, _shaped_hex(F.substr(entity, F.length(label) + 1, F.length(entity)), seed)))
-    return out.when(kind == "name", _name(entity, key, draw)).otherwise(entity)
+
+    def of(kind: Column, seed: Column) -> Column:
+        whole = lambda start: F.substr(entity, start, F.length(entity))
+        label, code = F.regexp_extract(entity, _PREFIX, 1), F.regexp_extract(entity, r"^(\+\d{1,3}(?=[ .\-(]))", 1)
+        # what stays in front, and what is drawn anew by letters and digits
+        front = F.when(kind == "aws_key", "AKIA").when(kind == "iban", F.substring(entity, 1, 2)).when(kind == "phone", code).when(kind == "secret", label).otherwise("")
+        drawn = _let(front, lambda f: _let(whole(F.length(f) + 1), lambda rest: F.concat(f, F.when((kind == "secret") & rest.rlike("^[0-9a-f]+$"), F.substr(_stream(seed), F.lit(1), F.length(rest))).otherwise(_shaped(rest, seed)))))
+        domain = F.concat(F.lit("@"), F.translate(F.substring(seed, 1, 10), "0123456789", "ghijklmnop"), F.lit(".example.org"))
+        out = F.when(kind == "email", F.concat(_shaped(F.substring_index(entity, "@", 1), seed), domain)).when(kind == "card", _card(entity, seed)).when(kind == "ip", _octets(seed))
+        return out.when(kind == "name", _name(entity, key, draw)).when(kind == "other", entity).otherwise(drawn)
+
+    return _let(type_of(entity), lambda kind: _let(_hash(key, kind, canonical(entity, kind), draw.cast("string")), lambda seed: of(kind, seed)))
 
 
 def entities_of(text: Column) -> Column:
@@ -160,10 +169,11 @@ def entities_of(text: Column) -> Column:
 def exceptions(df: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """(entity, draw) of the corpus's entities that drew again."""
     found = df.select(F.explode(entities_of(F.col(text))).alias("entity")).distinct()
-    known = cut(found.select("entity", type_of(F.col("entity")).alias("kind"), canonical(F.col("entity")).alias("canon"), F.lit(0).alias("draw")), "entities")
+    kinds = cut(found.select("entity", type_of(F.col("entity")).alias("kind")), "kinds")
+    known = cut(kinds.select("entity", "kind", canonical(F.col("entity"), F.col("kind")).alias("canon"), F.lit(0).alias("draw")), "entities")
     real = known.select(F.col("entity").alias("surrogate")).distinct()
     for _ in range(MAX_DRAWS):
-        drawn = known.withColumn("surrogate", surrogate(F.col("entity"), key, F.col("draw")))
+        drawn = cut(known.withColumn("surrogate", surrogate(F.col("entity"), key, F.col("draw"))), "drawn")
         owner = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct(F.col("draw") == 0, "canon")).alias("owner"), F.count_distinct("canon").alias("n"))
         taken = owner.filter("n > 1").select("kind", "surrogate", F.col("owner.canon").alias("keeper")).unionByName(owner.join(real, "surrogate", "left_semi").select("kind", "surrogate", F.lit(None).cast("string").alias("keeper")))
         again = cut(drawn.join(taken.groupBy("kind", "surrogate").agg(F.min(F.struct(F.col("keeper").isNotNull().alias("has"), "keeper")).alias("k")), ["kind", "surrogate"]).filter(F.col("k.keeper").isNull() | (F.col("k.keeper") != F.col("canon"))).select("kind", "canon").distinct(), "again")
