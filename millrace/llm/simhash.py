@@ -20,28 +20,34 @@ id stays, with the component of its text; it is never chosen as an id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, skewed_left_join
 
 #: Rows in a node of the cut trie at least, and nodes in a cut at most; the larger one of the two decides.
 NODE_ROWS, NODES = 1 << 13, 1 << 12
-#: The same for nodes whose rows carry sketches.
-SKETCH_NODE_ROWS = 1 << 18
 #: Pairs of fingerprints compared at once at the foot of the trie.
 LEAF_PAIRS = 1 << 14
 #: Links that wait in a group before they are reduced to a forest.
 PENDING = 1 << 21
 #: Shingles hashed and counted at once.
 CHUNK = 1 << 15
-#: Near copies on word shingles: words in a shingle, similarity, the estimate from which it is checked, bits of a sketch, bits of a trie's key, tries, differing bits in a key.
-COPY_WORDS, COPY_SIMILARITY, CANDIDATE_SIMILARITY, SKETCH_BITS, KEY_BITS, TRIES, KEY_BUDGET = 5, 0.8, 0.6, 512, 26, 24, 2
+#: Near copies on word shingles: words in a shingle, similarity (Jaccard), the same in hundredths.
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+PER_CENT = round(100 * COPY_SIMILARITY)
+#: Sets that shingles are counted in to order them, the count of a frequent one, and such shingles at most.
+SAMPLE_SETS, FREQUENT, MOST_FREQUENT = 20_000, 8, 1 << 16
+#: Open pairs a class up to which all are compared at once; postings of a shingle in a block.
+PAIRS_A_CLASS, BLOCK = 4, 4096
+#: Numbers of compared sets up to which they are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -261,13 +267,11 @@ def node_homes(nodes: list[tuple[int, int, int]], budget: int) -> list[list[tupl
     return out
 
 
-def trie_self_join(keys: DataFrame, bits: int, budget: int, sketch: str | None = None, most: int = 0, node_rows: int = NODE_ROWS) -> DataFrame:
+def trie_self_join(keys: DataFrame, bits: int, budget: int, node_rows: int = NODE_ROWS) -> DataFrame:
     """Links (a, b) between rows of ``keys`` (id long, trie int, key long) whose keys differ in ``budget`` bits at most.
 
-    The highest ``bits`` of a key count. With ``sketch`` (a binary column of
-    ``keys``), a link also needs at most ``most`` differing bits of it. The
-    links that come back connect what all links connect; of each group's links
-    they are a forest of the nearest ones.
+    The highest ``bits`` of a key count. The links that come back connect what
+    all links connect; of each group's links they are a forest of the nearest ones.
     """
     spark = keys.sparkSession
     schema = "a bigint, b bigint"
@@ -279,7 +283,7 @@ def trie_self_join(keys: DataFrame, bits: int, budget: int, sketch: str | None =
     order = sorted(range(len(nodes)), key=lambda n: (starts[n][0], starts[n][1]))
     nodes = [(nodes[n][0], nodes[n][1] & (2 ** nodes[n][2] - 1), nodes[n][2]) for n in order]
     sent = spark.sparkContext.broadcast((np.array([t for t, _, _ in nodes]), np.array([p << (64 - d) for _, p, d in nodes], dtype=np.uint64), node_homes(nodes, budget)))
-    columns = ["id", "key"] + ([sketch] if sketch else [])
+    columns = ["id", "key"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries, first, homes = sent.value
@@ -304,16 +308,12 @@ def trie_self_join(keys: DataFrame, bits: int, budget: int, sketch: str | None =
             one = pdf[pdf["side"] == s]
             k = one["key"].to_numpy().view(np.uint64)
             o = np.argsort(k, kind="stable")
-            more = np.frombuffer(b"".join(one[sketch]), dtype=np.uint64).reshape(len(one), -1)[o] if sketch and len(one) else None
-            sides.append((k[o], one["id"].to_numpy()[o], more))
-        (ka, ia, sa), (kb, ib, sb) = sides
+            sides.append((k[o], one["id"].to_numpy()[o]))
+        (ka, ia), (kb, ib) = sides
         forest = Forest(len(ia) + len(ib))
-        for k, more, shift in ((None, sa, 0), (kb, sb, len(ia))):
+        for k, shift in ((None, 0), (kb, len(ia))):
 
-            def found(i: np.ndarray, j: np.ndarray, d: np.ndarray, more=more, shift=shift) -> None:
-                if sketch:
-                    d = np.bitwise_count(sa[i] ^ more[j]).sum(1, dtype=np.int64)
-                    i, j, d = i[d <= most], j[d <= most], d[d <= most]
+            def found(i: np.ndarray, j: np.ndarray, d: np.ndarray, shift=shift) -> None:
                 forest.add(i, j + shift, d)
 
             if len(ka) and (k is None or len(k)):
@@ -322,7 +322,7 @@ def trie_self_join(keys: DataFrame, bits: int, budget: int, sketch: str | None =
         links = forest.reduce()
         return pd.DataFrame({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
 
-    dealt = keys.select("id", "trie", "key", *([sketch] if sketch else [])).mapInArrow(deal, f"home bigint, side tinyint, id bigint, key bigint{', ' + sketch + ' binary' if sketch else ''}")
+    dealt = keys.select("id", "trie", "key").mapInArrow(deal, "home bigint, side tinyint, id bigint, key bigint")
     return dealt.groupBy("home").applyInPandas(join, schema)
 
 
@@ -377,56 +377,168 @@ def _long(binary: str, word: int):
     return F.shiftleft(half(1), 32).bitwiseOR(half(5))
 
 
-def similarity_to_bits(similarity: float, bits: int) -> int:
-    """Differing bits expected of two shingle sets of this Jaccard similarity: the angle between them over pi."""
-    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
+def _least_shared(n: np.ndarray | int):
+    """The fewest shingles that a set of ``n`` shares with one alike to it: COPY_SIMILARITY of them, rounded up."""
+    return -(-PER_CENT * n // 100)
 
 
-def alike(df: DataFrame, pairs: DataFrame, id_: str, text: str) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets are alike to COPY_SIMILARITY or more."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+def shingle_sets(df: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, row, text_digest, digest, size, shingles): each row's distinct shingle hashes, ascending, and their digest."""
+    rows = df.select(F.col(id_).alias("id"), F.monotonically_increasing_id().alias("row"), F.sha2(F.encode(F.col(text), "UTF-8"), 256).alias("text_digest"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(x.as_py(), COPY_WORDS)])).view(np.int64) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            sets = [np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(x.as_py(), COPY_WORDS)])) for x in batch.column("text")]
+            held = [x.tobytes() for x in sets]
+            more = [pa.array([blake2b(x, digest_size=16).digest() for x in held], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "row", "text_digest")), *more], names=["id", "row", "text_digest", "digest", "size", "shingles"])
 
-    sets = cut(texts.mapInArrow(run, "id bigint, shingles array<bigint>"), "shingles")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - shared
-    return both.filter((shared >= COPY_SIMILARITY * union) & (union > 0)).select("a", "b")
+    schema = rows.drop("text").schema.add("digest", "binary", False).add("size", "integer", False).add("shingles", "binary", False)
+    return rows.mapInArrow(run, schema)
 
 
-def near_copies(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, component_id): documents linked by word shingles alike to COPY_SIMILARITY or more (Jaccard, of their sets).
+def frequent_shingles(sets: DataFrame, total: int) -> np.ndarray:
+    """Shingles that many of SAMPLE_SETS sets hold, rarest first. They only order the shingles: any order gives the same pairs."""
+    some = sets if total <= SAMPLE_SETS else sets.filter(F.pmod(F.xxhash64("row"), F.lit(total)) < SAMPLE_SETS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=np.int64)
+            for i in range(0, len(found), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16)])], names=["token"])
+
+    counts = some.select("shingles").mapInArrow(run, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
+    got = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
+    return got["token"].to_numpy()[::-1].view(np.uint64)
+
+
+def prefix_postings(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(token, row, class_key, size, pos): the shingles of each set's prefix, frequent ones ordered last.
 
-    A sketch of SKETCH_BITS sign bits estimates the angle between two shingle
-    counts, and so their similarity. TRIES tries, each over KEY_BITS bits of the
-    sketch drawn by rule, are joined with KEY_BUDGET differing bits; what they
-    bring together, if the sketches agree to CANDIDATE_SIMILARITY, is a
-    candidate. The nearest candidates that connect each group of a trie (fewer
-    than its documents) are checked exactly on their whole shingle sets. At
-    similarity 0.8 a pair is expected to miss every trie once in 200 times, at
-    0.9 once in 10,000.
+    A set of n shares s = _least_shared(n) shingles with any set alike to it, so
+    the first shared one, in an order common to all, is among its first n - s + 1.
     """
-    width = SKETCH_BITS // 64
-    prints = cut(with_fingerprint(df.select(F.col(id_), F.col(text)), COPY_WORDS, width, text, "sketch"), "sketches")
-    classes = _classes(prints, id_, "sketch")
-    order = np.random.default_rng(7)
-    drawn = [order.permutation(SKETCH_BITS)[:KEY_BITS] for _ in range(TRIES)]
+    order = np.argsort(frequent)
+    sent = sets.sparkSession.sparkContext.broadcast((frequent[order], (order + 1).astype(np.int64)))
 
-    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = sent.value
         for batch in batches:
-            n = batch.num_rows
-            sketches = batch.column("sketch")
-            bits = np.unpackbits(np.frombuffer(b"".join(sketches.to_pylist()), dtype=np.uint8).reshape(n, -1), axis=1).astype(np.uint64)
-            for t, places in enumerate(drawn):
-                key = (bits[:, places] << np.arange(63, 63 - KEY_BITS, -1).astype(np.uint64)).sum(1, dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(n, t, dtype=np.int32)), pa.array(key.view(np.int64)), sketches], names=["id", "trie", "key", "sketch"])
-
-    keys = classes.filter("rep is not null").select(F.col("rep").alias("id"), "sketch").mapInArrow(tries, "id bigint, trie int, key bigint, sketch binary")
-    links = trie_self_join(cut(keys, "keys"), KEY_BITS, KEY_BUDGET, "sketch", similarity_to_bits(CANDIDATE_SIMILARITY, SKETCH_BITS), SKETCH_NODE_ROWS)
-    links = alike(df, cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates"), id_, text)
-    return _with_component(prints, classes, links, id_, "sketch").select(F.col(id_), "component_id")
+            prefixes = []
+            for held in batch.column("shingles").to_pylist():
+                own = np.frombuffer(held, dtype=np.uint64)
+                most = len(own) - _least_shared(len(own)) + 1 if len(own) else 0
+                if len(known) and len(own):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, ranks[at], 0)
+                    if rank.any():
+                        own = own[np.argsort(rank, kind="stable")]
+                prefixes.append(own[:most])
+            counts = [len(x) for x in prefixes]
+            take = np.repeat(np.arange(len(counts)), counts)
+            tokens = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, dtype=np.int64)
+            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in counts]) if counts else np.zeros(0, dtype=np.int32)
+            row, key, size = batch.column("row").to_numpy(), batch.column("class_key").to_numpy(), batch.column("size").to_numpy()
+            for i in range(0, len(take), 1 << 16):
+                t = take[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens[i : i + (1 << 16)], row[t], key[t], size[t], pos[i : i + (1 << 16)])], names=["token", "row", "class_key", "size", "pos"])
+
+    return sets.select("row", F.xxhash64("digest").alias("class_key"), "size", "shingles").mapInArrow(run, "token bigint, row bigint, class_key bigint, size int, pos int")
+
+
+def _can_be_alike(a: str, b: str):
+    """Whether two postings of one shingle may be the first that two alike sets share: by sizes, and by what follows it in both."""
+    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
+    after = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * PER_CENT) & (after * (100 + PER_CENT) >= (n + m) * PER_CENT)
+
+
+def alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of ``sets`` (number, shingles) that are alike to COPY_SIMILARITY or more."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
+    ids = cut(ids, "ids")
+    # without a broadcast all sets would be shuffled
+    own = cut(sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "number", "left_semi"), "compared")
+    both = pairs.join(own.select(F.col("number").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("number").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared * 100 >= PER_CENT * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def alike_links(sets: DataFrame, postings: DataFrame, classes: int) -> DataFrame:
+    """Links (a, b) of alike sets that connect what all pairs alike connect.
+
+    ``postings`` (token, number, size, pos) hold each set's prefix. In a round
+    each shingle's sets are compared with one of them; links found join parts,
+    and only pairs between different parts stay open. When a round no longer
+    halves the open pairs, or few are left, every open pair is compared.
+    """
+    spark = postings.sparkSession
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    before, turn = None, 0
+    while True:
+        parts = components(links)
+        at = postings.join(parts, postings["number"] == parts["id"], "left").select("token", "number", "size", "pos", F.coalesce("component", "number").alias("part"))
+        shares = at.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
+        open_ = cut(shares.groupBy("token").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("parts"), F.sum(F.col("k") * F.col("k")).alias("own")).filter("parts > 1").select("token", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")), "open")
+        left = open_.agg(F.sum("pairs")).first()[0] or 0
+        if not left:
+            return links
+        at = cut(at.join(open_.select("token", "n"), "token"), "postings")
+        if left <= PAIRS_A_CLASS * classes or (before is not None and left > before / 2):
+            break
+        row = F.struct(F.xxhash64(F.col("number"), F.lit(turn)).alias("h"), "number", "size", "pos", "part")
+        middle = at.groupBy("token").agg(F.min(row).alias("m")).select("token", "m.*")
+        near = at.alias("a").join(middle.alias("b"), "token").filter("a.part <> b.part").filter(_can_be_alike("a", "b"))
+        links = cut(links.unionByName(alike(sets, _pairs(near))), "links")
+        before, turn = left, turn + 1
+    # blocks of a frequent shingle's sets meet in separate tasks
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    one = at.withColumn("block", F.pmod(F.xxhash64("number"), blocks).cast("int"))
+    other = at.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = one.alias("a").join(other.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.number") < F.col("b.number")) & (F.col("a.part") != F.col("b.part")) & _can_be_alike("a", "b"))
+    return cut(links.unionByName(alike(sets, _pairs(rest))), "links")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return cut(met.select(F.least("a.number", "b.number").alias("a"), F.greatest("a.number", "b.number").alias("b")).distinct(), "candidates")
+
+
+def copy_groups(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text_digest, group, component_id) of every row; ``group`` numbers the groups of ``near_copies``.
+
+    A row belongs to the group of its own text, whatever its id is.
+    """
+    rows = cut(shingle_sets(df, id_, text), "shingles")
+    classes = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("row").alias("number"))
+    classes = cut(classes, "classes")
+    total, n_classes = classes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    postings = prefix_postings(rows, frequent_shingles(rows, total or 0))
+    # shingles in the prefixes of one class alone bring nothing together
+    every = Window.partitionBy("token")
+    shared = postings.withColumn("_lo", F.min("class_key").over(every)).withColumn("_hi", F.max("class_key").over(every)).filter("_lo <> _hi")
+    postings = cut(shared.select("token", F.col("row").alias("number"), "size", "pos").join(classes.select("number"), "number", "left_semi"), "prefixes")
+    sets = rows.select(F.col("row").alias("number"), "shingles")
+    found = components(alike_links(sets, postings, n_classes))
+    grouped = classes.join(found, classes["number"] == found["id"], "left").select("digest", "rep", "n", F.coalesce("component", "number").alias("group"))
+    first = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
+    label = cut(grouped.join(first, "group").select("digest", "n", "group", "component_id"), "labels")
+    return skewed_left_join(rows.select("id", "row", "text_digest", "digest"), label, "digest", "n", total or 0, F.col("row")).select(F.col("id").alias(id_), "text_digest", "group", "component_id")
+
+
+def near_copies(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component_id): documents linked by word shingles alike to COPY_SIMILARITY or more (Jaccard, of their sets).
+
+    The join is exact: only texts of equal shingle sets are one class unchecked,
+    prefixes bring together every pair that can be alike, and each link is
+    checked on the whole sets.
+    """
+    return copy_groups(df, id_, text).select(id_, "component_id")

@@ -66,6 +66,35 @@ def test_near_copies(documents, prose):
     assert got == brute_components(sorted(sets), alike)
 
 
+def near_groups(spark, texts):
+    got = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    return {r["doc_id"]: r["component_id"] for r in got}
+
+
+def brute_near_groups(texts):
+    sets = [set(shingles(t, 5)) for t in texts]
+    return brute_components(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+
+
+def test_near_copies_at_the_bound(spark, monkeypatch):
+    """Groups in which nearly half of the pairs are just below the similarity; compared at once, and by rounds in small blocks."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(204)]
+        for n in range(40):
+            own = list(base)
+            start = int(rng.integers(0, 204))
+            for k in range(int(rng.integers(17, 22))):
+                own[(start + k) % 204] = f"x{g}n{n}k{k}"
+            texts.append(" ".join(own))
+    want = brute_near_groups(texts)
+    assert near_groups(spark, texts) == want
+    monkeypatch.setattr(simhash, "PAIRS_A_CLASS", 0)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    assert near_groups(spark, texts) == want
+
+
 def test_components_of_chains(spark):
     chain = [(n, n + 1) for n in range(60)] + [(100, 105), (105, 103), (7, 7)]
     got = {r["id"]: r["component"] for r in simhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
