@@ -95,6 +95,14 @@ def test_near_copies_at_the_bound(spark, monkeypatch):
     assert near_groups(spark, texts) == want
 
 
+def test_repeated_line_makes_no_copies(spark):
+    """Different texts around one line repeated often; of two copies only the counts differ."""
+    line = "one two three four five six seven"
+    own = lambda n: " ".join(f"n{n}k{k}" for k in range(300))
+    texts = [f"{own(n)} " + " ".join([line] * 200) for n in range(4)] + [f"{own(3)} " + " ".join([line] * 90)]
+    assert near_groups(spark, texts) == brute_near_groups(texts) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_components_of_chains(spark):
     chain = [(n, n + 1) for n in range(60)] + [(100, 105), (105, 103), (7, 7)]
     got = {r["id"]: r["component"] for r in simhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
