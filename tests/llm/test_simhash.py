@@ -103,6 +103,17 @@ def test_repeated_line_makes_no_copies(spark):
     assert near_groups(spark, texts) == brute_near_groups(texts) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3}
 
 
+def test_short_near_copies_are_all_found(spark):
+    """Pairs at the similarity exactly, of four to 24 shingles and one more in every fourth: none may be missed."""
+    texts = []
+    for n in range(300):
+        k = 4 * (1 + n % 6)
+        text = " ".join(f"p{n}w{i}" for i in range(k + 4))
+        texts += [text, text + "".join(f" p{n}end{i}" for i in range(k // 4))]
+    got = near_groups(spark, texts)
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_components_of_chains(spark):
     chain = [(n, n + 1) for n in range(60)] + [(100, 105), (105, 103), (7, 7)]
     got = {r["id"]: r["component"] for r in simhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
