@@ -35,6 +35,15 @@ TRAIN_ROWS = 12_000
 #: Hash buckets of features; grades; L1 penalty a row; steps; the tail probability from which a row is kept.
 BUCKETS, GRADES, PENALTY, STEPS, KEEP = 1 << 18, 3, 2e-4, 120, 0.5
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+_ASCII, _SMALL = bytes(range(128)), bytes(set(range(256)) - set(range(ord("A"), ord("Z") + 1)))
+
+
+def upper_count(text: str) -> int:
+    """How many of a text's characters are upper-case."""
+    if text.isascii():
+        return len(text.encode().translate(None, _SMALL))
+    data = text.encode("utf-8", "surrogatepass")
+    return len(data.translate(None, _SMALL)) + sum(map(str.isupper, data.translate(None, _ASCII).decode("utf-8", "surrogatepass")))
 
 
 def features(text: str | None) -> np.ndarray:
@@ -43,8 +52,8 @@ def features(text: str | None) -> np.ndarray:
     if not tokens:
         return np.zeros(0, dtype=np.int32)
     seen = set(tokens)
-    upper = sum(map(str.isupper, text[:: max(1, len(text) // 2000)]))
-    marks = {f"\x00distinct{int(8 * len(seen) / len(tokens))}" if len(tokens) >= 20 else "\x00few", f"\x00upper{int(8 * upper / min(len(text), 2000))}"}
+    upper = upper_count(text)
+    marks = {f"\x00distinct{int(8 * len(seen) / len(tokens))}" if len(tokens) >= 20 else "\x00few", f"\x00upper{int(8 * upper / len(text))}"}
     marks.add(f"\x00again{min(4, int(16 * sum(a == b for a, b in zip(tokens, tokens[1:], strict=False)) / len(tokens)))}")
     crc = zlib.crc32
     return np.unique(np.fromiter((crc(t.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for t in seen | marks), dtype=np.int32))

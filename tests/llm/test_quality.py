@@ -32,3 +32,11 @@ def test_no_ratings(spark, documents):
     model = quality.train(documents, spark.createDataFrame([], LABELS))
     assert all(r["keep"] and r["expected_grade"] > 1.99 for r in quality.grade(documents, model).collect())
     assert quality.grade(documents.limit(0), model).count() == 0
+
+
+def test_upper_case_over_the_whole_text():
+    for n in (100, 1900, 2000, 2500, 3900, 4000, 5900, 60_001):
+        assert np.array_equal(quality.features("AB cd " * (n // 6)), quality.features("AB cd " * 40)) and quality.upper_count("Aé" * n + "É") == n + 1
+    late = "ab cd " * 500 + "AB CD " * 500
+    assert np.array_equal(quality.features(late), quality.features("ab cd AB CD " * 500)) and quality.upper_count(late) == 2000
+    assert quality.upper_count("aA\ud800ÀßⅠǅ\U0001d400") == sum(map(str.isupper, "aA\ud800ÀßⅠǅ\U0001d400"))
