@@ -6,7 +6,7 @@ of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, pii, quality, queries, simhash
@@ -21,17 +21,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id (of repeated rows, one)."""
+    """One document of each group of near copies: the one with the smallest id (of repeated rows, one).
+
+    A row is judged by its own text, whatever other rows have its id; a null id comes last.
+    """
     queries.small_batches(spark)
-    found = simhash.near_copies(docs)
-    first = found.filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    found = simhash.copy_groups(docs)
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_digest")).alias("f")).select("f.doc_id", "f.text_digest")
+    named = docs.withColumn("_digest", text_digest())
+    kept = named.join(first, named["doc_id"].eqNullSafe(first["doc_id"]) & named["_digest"].eqNullSafe(first["text_digest"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+
+
+def text_digest() -> Column:
+    return F.sha2(F.encode("text", "UTF-8"), 256)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """Documents without a window of a benchmark item, each judged by its own text."""
+    named = docs.withColumn("_digest", text_digest())
+    found = decontam.contamination(named, table(spark, sf_dir, "benchmark"), id_="_digest").filter("n_hit > 0").select("_digest").distinct()
+    return named.join(found, "_digest", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,17 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), DATA).count() == 0, name
         out.count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Different texts under null and reused ids; one of each is a benchmark passage."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    leak = next(r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if len(r["text"].split()) >= 10)
+    text = lambda n: " ".join(f"t{n}w{k}" for k in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(4)), (None, text(5)), (5, text(5)), (None, leak), (7, leak + " end")]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").select(*docs.columns)
+    key = lambda df: sorted(((r["doc_id"] or 0), r["text"]) for r in df.collect())
+    clean = [(0, text(1)), (0, text(2)), (5, text(5)), (7, text(3)), (7, text(4))]
+    assert [x for x in key(corpus_pipeline.near_copies_stage(spark, odd, DATA)) if leak not in x[1]] == clean
+    left = key(corpus_pipeline.decontamination_stage(spark, odd, DATA))
+    assert left == sorted((i or 0, t) for i, t in rows if leak not in t)
