@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from the session.
 
-    Where the cluster names none (tests on one machine), a temporary folder is
-    made once and kept for the session.
+    Only a session on one machine (as in tests) may name none: it gets a
+    temporary folder, made once and kept for the session. On a cluster that
+    would lose data, so a missing setting is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
@@ -38,7 +44,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     Later stages start from the files, so a lost executor costs only the tasks
-    it ran. The folder goes when the driver ends.
+    it ran. ``discard`` removes the files; what is left goes when the driver ends.
     """
     spark = df.sparkSession
     base = shared_dir(spark)
@@ -46,19 +52,33 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     if base not in _cleaned:
         _cleaned.add(base)
-        atexit.register(_remove, spark, base)
-    return spark.read.schema(df.schema).parquet(path)
+        atexit.register(_at_exit, spark, base)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of frames that ``cut`` gave and that nothing unread depends on any more."""
+    for df in frames:
+        held = _paths.pop(id(df), None)
+        if held is not None and held[0]() is df:
+            _remove(df.sparkSession, held[1])
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None:  # the session has been stopped
-        return
-    try:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - at exit the gateway may already be gone
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jvm is None:  # the session has been stopped
         return
+    with contextlib.suppress(Exception):  # the gateway may already be gone
+        _remove(spark, path)
 
 
 def skewed_left_join(rows: DataFrame, found: DataFrame, key: str, count: str, total: int, spread: Column) -> DataFrame:

@@ -40,8 +40,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images drawn from the vectors; every twentieth, cropped and brightened, is sought among all."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").filter("vec_id is not null")
+    """Images drawn from the vectors; every twentieth, cropped, brightened and blurred, is sought among all."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     drawn, edited = images.draw(vectors, "vec_id", "embedding"), images.draw(vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding", edit=True)
     return images.image_copies(edited, drawn)
 
