@@ -1,8 +1,10 @@
 import html
 import re
+import time
 
 import pytest
 
+from millrace.llm import html_text
 from millrace.llm.html_text import extract_text, is_aside, main_text
 
 ARTICLE = "<article><h1>Title &amp; more</h1><p><b>First long paragraph with many words in it for the ratio.<br><p>Second one,\n  wrapped   text &eacute;&#39;s.</p><ul><li>one<li>two</ul><p>End.</p></article>"
@@ -54,3 +56,39 @@ def test_pages_against_their_articles(spark):
         parts = re.split(r"</?(?:h1|p|br)>", inner.replace("<b>", "").replace("</b>", ""))
         assert r["text"] == " ".join(" ".join(html.unescape(x) for x in parts).split())
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_what_the_article_keeps():
+    kept = [
+        "<h2 id='discussion'>Discussion</h2>", "<section id='discussion'><h2>Discussion</h2><p>What it means.</p></section>", "<h2 id='related-work'>Related work</h2>", "<p class='byline'>By A. Writer</p>",
+        "<p class='social-history'>Lives alone.</p>", "<p>As <math><mi>x</mi></math> grows</p>", "<figure><figcaption>A figure</figcaption></figure>", "<p id='comment-1'>No comment.</p>", "<table><tr><td>a<td>b</table>",
+    ]
+    plain = lambda x: " ".join(re.sub(r"</?(?:h2|p|section|tr|td|table|figure|figcaption)[^>]*>", " ", re.sub(r"</?m[^>]*>", "", x)).split())
+    for part in kept:
+        assert main_text("<body>" + NOISE["nav"] + ARTICLE.replace("<p>End.", part + "<p>End.") + NOISE["footer"]) == TEXT.replace("End.", plain(part) + " End."), part
+    assert main_text(ARTICLE.replace("<h1>Title &amp; more</h1>", "<header><h1>Title &amp; more</h1><nav><a href=x>Up</a></nav></header>")) == TEXT
+    assert main_text("<form><div><input>" + ARTICLE + "</div></form>") == TEXT
+
+
+def test_menus_and_copyright_lines_without_names():
+    links = "<div><ul>" + "".join(f"<li><a href='/{n}'>Section {n}</a></li>" for n in range(8)) + "</ul></div>"
+    body = ARTICLE.replace("article>", "div>")
+    assert main_text(f"<body>{links}{body}{links}<div>© 2024 Somebody</div>") == TEXT
+    assert main_text(f"<body><article>{ARTICLE[9:-10]}{links}<p>All rights reserved.</p></article>") == TEXT + " All rights reserved."
+
+
+def test_ratios_decide(monkeypatch):
+    """Another threshold, or ratios that say nothing, give other text."""
+    links = "<div>" + "".join(f"<p><a href='/{n}'>Short {n}</a></p>" for n in range(6)) + "</div>"
+    page = f"<body>{links}<div>" + "<p>A long paragraph of plain words that goes on for quite a while here.</p>" * 4 + f"</div>{links}"
+    before = main_text(page)
+    assert before == " ".join(["A long paragraph of plain words that goes on for quite a while here."] * 4)
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: [1.0] * len(ratios))
+    assert main_text(page) != before
+
+
+def test_deep_unclosed_markup_is_linear():
+    began = time.process_time()
+    assert main_text("<div>word " * 100_000).count("word") == 100_000
+    assert main_text("<span>" * 50_000 + "<li>x</b>" * 50_000).count("x") == 50_000
+    assert time.process_time() - began < 20
