@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A hot key holds over 1/HOT_SHARE of the rows, so there are under HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: Keys (numbers or digests) up to which a list of them is broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +83,11 @@ def _at_exit(spark: SparkSession, path: str) -> None:
         _remove(spark, path)
 
 
+def having(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose key is among ``keys`` (a written table of one column), or isn't; by a broadcast if they are few, else all rows are shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, keys.columns[0], how)
+
+
 def skewed_left_join(rows: DataFrame, found: DataFrame, key: str, count: str, total: int, spread: Column) -> DataFrame:
     """``rows`` left-joined to ``found`` (one row a key), safe for hot keys.
 

@@ -3,24 +3,34 @@
 A text's fingerprint has a bit set where over half of its shingles' hashes have
 it. Fingerprints are joined with themselves as a binary trie: a pair of nodes
 is taken down together, a step into different children costs one bit of the
-Hamming budget, and a pair is pruned when the budget is spent. The trie is cut
-into nodes of bounded size over the whole corpus first; a node and those that
-the budget lets it meet are one group of the join, so a group is bounded
-whatever the rows are. Within a group only links that join two parts of it go
-out (a spanning forest), so a large group of near copies gives as many links as it has
+Hamming budget, and a pair is pruned when the budget is spent. The first levels
+are taken by all keys at once, as rows: a row says in which node a key is a
+guest (or at home) and how many bits it has spent on the way. Nodes that still
+hold over GROUP rows go further down, the others are joined, each in one task,
+so a group is bounded at every size of the corpus and nothing of the trie is in
+the driver. Within a group only links that join two parts of it go out (a
+spanning forest), so a large group of near copies gives as many links as it has
 members. Components are found by contracting those links until none is left.
 
+Near copies on word shingles (``copy_groups``) start from the trie's links and
+check them on the whole sets. Fingerprints of 64 bits can't bring all pairs
+alike to 0.8 together (such pairs differ in ten bits on average), so an exact
+prefix join finds the links that are left.
+
 Defined results: null and empty texts, and those of white space only, have no
 words and the fingerprint zero, which is linked like any other; a text of fewer
 words than a shingle has one shingle, the whole sequence; repeated rows share a
-fingerprint and so a component; an empty table gives an empty result. A null
-id stays, with the component of its text; it is never chosen as an id.
+fingerprint and so a component; an empty table gives an empty result; other
+columns, whatever their names, are ignored. Ids may have any type that can be
+compared. A null id stays, with the component of its text; it is never chosen
+as an id, so a component of null ids alone is null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,16 +39,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, skewed_left_join
+from .common import cut, discard, having, skewed_left_join
 
-#: Rows in a node of the cut trie at least, and nodes in a cut at most; the larger one of the two decides.
-NODE_ROWS, NODES = 1 << 13, 1 << 12
+#: Rows that are at home in a node of the first cut, about; rows of a group at most; levels that larger groups go down at once.
+NODE_ROWS, GROUP, LEVELS = 1 << 13, 1 << 20, 6
 #: Pairs of fingerprints compared at once at the foot of the trie.
 LEAF_PAIRS = 1 << 14
 #: Links that wait in a group before they are reduced to a forest.
 PENDING = 1 << 21
 #: Shingles hashed and counted at once.
 CHUNK = 1 << 15
+#: Differing bits of linked fingerprints.
+BUDGET = 2
 #: Near copies on word shingles: words in a shingle, similarity (Jaccard), the same in hundredths.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 PER_CENT = round(100 * COPY_SIMILARITY)
@@ -46,8 +58,6 @@ PER_CENT = round(100 * COPY_SIMILARITY)
 SAMPLE_SETS, FREQUENT, MOST_FREQUENT = 20_000, 8, 1 << 16
 #: Open pairs a class up to which all are compared at once; postings of a shingle in a block.
 PAIRS_A_CLASS, BLOCK = 4, 4096
-#: Numbers of compared sets up to which they are broadcast.
-BROADCAST_IDS = 1_000_000
 
 
 def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -217,113 +227,80 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, bits: int, budget: in
                 stack.append((am, ah, bl, bm, depth + 1, spent + 1))
 
 
-def trie_cut(keys: DataFrame, key: str, trie: str, bits: int, rows: int) -> list[tuple[int, int, int]]:
-    """Nodes (trie, prefix, depth) that cover every key, of about ``rows`` keys at most.
-
-    Counts go down eight bits at a time and only below nodes that are too large,
-    so what the driver gets is bounded by the number of nodes.
-    """
-    done: list[tuple[int, int, int]] = []
-    depth, open_ = 0, None
-    while True:
-        step = min(8, bits - depth)
-        at = keys if open_ is None else keys.join(F.broadcast(open_), (F.col(trie) == F.col("_t")) & (F.shiftrightunsigned(F.col(key), 64 - depth) == F.col("_p")), "left_semi")
-        prefix = F.shiftrightunsigned(F.col(key), 64 - depth - step) if depth + step < 64 else F.col(key)
-        counts = at.groupBy(F.col(trie).alias("t"), prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
-        size = {(r["t"], r["p"]): r["n"] for r in counts}
-        # a node is as shallow as its size allows
-        for d in range(1, step + 1):
-            above: dict[tuple[int, int], int] = {}
-            for (t, p), n in size.items():
-                above[t, p >> (step - d)] = above.get((t, p >> (step - d)), 0) + n
-            fit = {k for k, n in above.items() if n <= rows or depth + d == bits}
-            done += [(t, p, depth + d) for t, p in fit]
-            size = {(t, p): n for (t, p), n in size.items() if (t, p >> (step - d)) not in fit}
-            if not size:
-                return sorted(done)
-        depth += step
-        open_ = keys.sparkSession.createDataFrame([(t, p) for t, p in sorted(size)], f"_t {keys.schema[trie].dataType.simpleString()}, _p bigint")
-
-
-def node_homes(nodes: list[tuple[int, int, int]], budget: int) -> list[list[tuple[int, int]]]:
-    """For each node the groups it goes to, as (group, side): its own on side 0, and on side 1 those of nodes it has to meet.
+def _deal(depth: int, step: int, budget: int):
+    """Takes rows (home, side, spent, key) from trie depth ``depth`` to ``depth + step``.
 
-    Two nodes meet if they differ in ``budget`` bits at most over their common
-    depth, in the group of one of them; which one alternates, so that groups are even.
+    Side 0 is at home in the node, side 1 a guest whose path differs from the
+    node's in ``spent`` bits. Of two nodes that have to meet one is the home; which
+    one follows from their common bits, so that groups are even.
     """
-    out: list[list[tuple[int, int]]] = [[(n, 0)] for n in range(len(nodes))]
-    by_trie: dict[int, list[int]] = {}
-    for n, (t, _, _) in enumerate(nodes):
-        by_trie.setdefault(t, []).append(n)
-    for members in by_trie.values():
-        prefix = np.array([nodes[n][1] for n in members], dtype=np.uint64)
-        depth = np.array([nodes[n][2] for n in members], dtype=np.uint64)
-        for a, n in enumerate(members):
-            d = np.minimum(depth[a:], depth[a])
-            differ = np.bitwise_count(prefix[a:] >> (depth[a:] - d) ^ prefix[a] >> (depth[a] - d))
-            for b in np.flatnonzero(differ <= budget)[1:].tolist():
-                home, other = (n, members[a + b]) if b % 2 else (members[a + b], n)
-                out[other].append((home, 1))
-    return out
-
-
-def trie_self_join(keys: DataFrame, bits: int, budget: int, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Links (a, b) between rows of ``keys`` (id long, trie int, key long) whose keys differ in ``budget`` bits at most.
+    masks = [sum(1 << b for b in bits) for w in range(min(budget, step) + 1) for bits in combinations(range(step), w)]
 
-    The highest ``bits`` of a key count. The links that come back connect what
-    all links connect; of each group's links they are a forest of the nearest ones.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _large(batches):
+            home, side, spent, key = (table.column(c).to_numpy() for c in ("home", "side", "spent", "key"))
+            own = (key.view(np.uint64) >> np.uint64(64 - depth - step)).astype(np.int64) & ((1 << step) - 1)
+            for mask in masks:
+                other, w = own ^ mask, mask.bit_count()
+                even = np.bitwise_count(own & other) % 2 == 0
+                goes = np.where(side == 1, spent + w <= budget, (mask == 0) | (even & (other < own)) | (~even & (other > own)))
+                k = np.flatnonzero(goes)
+                if len(k):
+                    columns = (home[k] * (1 << step) + other[k], np.where(mask == 0, side[k], 1).astype(np.int8), (spent[k] + w).astype(np.int8), key[k])
+                    for at in range(0, len(k), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names=["home", "side", "spent", "key"])
+
+    return run
+
+
+def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to CHUNK rows or more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def trie_self_join(keys: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS, group: int = GROUP) -> DataFrame:
+    """Links (a, b) between ``keys`` (key long, distinct) that differ in ``budget`` bits at most.
+
+    The links that come back connect what all links connect; of each group's
+    links they are a forest of the nearest ones.
     """
-    spark = keys.sparkSession
-    schema = "a bigint, b bigint"
     total = keys.count()
-    if not total:
-        return spark.createDataFrame([], schema)
-    nodes = trie_cut(keys, "key", "trie", bits, max(node_rows, total // NODES))
-    starts = np.array([(t, (p << (64 - d)) & (2**64 - 1)) for t, p, d in ((t, p & (2**d - 1), d) for t, p, d in nodes)], dtype=object)
-    order = sorted(range(len(nodes)), key=lambda n: (starts[n][0], starts[n][1]))
-    nodes = [(nodes[n][0], nodes[n][1] & (2 ** nodes[n][2] - 1), nodes[n][2]) for n in order]
-    sent = spark.sparkContext.broadcast((np.array([t for t, _, _ in nodes]), np.array([p << (64 - d) for _, p, d in nodes], dtype=np.uint64), node_homes(nodes, budget)))
-    columns = ["id", "key"]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, first, homes = sent.value
-        bounds = {int(t): (int(np.searchsorted(tries, t)), int(np.searchsorted(tries, t, "right"))) for t in np.unique(tries)}
-        for batch in batches:
-            key = batch.column("key").to_numpy().astype(np.int64).view(np.uint64)
-            trie = batch.column("trie").to_numpy()
-            node = np.empty(len(key), dtype=np.int64)
-            for t in np.unique(trie).tolist():
-                lo, hi = bounds[t]
-                node[trie == t] = lo + np.searchsorted(first[lo:hi], key[trie == t], "right") - 1
-            places = [homes[n] for n in node.tolist()]
-            take = np.repeat(np.arange(len(key)), [len(p) for p in places])
-            flat = [x for p in places for x in p]
-            for i in range(0, len(take), 1 << 16):
-                rows = batch.select(columns).take(pa.array(take[i : i + (1 << 16)]))
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in flat[i : i + (1 << 16)]], pa.int64()), pa.array([s for _, s in flat[i : i + (1 << 16)]], pa.int8()), *rows.columns], names=["home", "side", *columns])
+    rows = keys.select(F.lit(1).cast("bigint").alias("home"), F.lit(0).cast("tinyint").alias("side"), F.lit(0).cast("tinyint").alias("spent"), "key")
+    schema, depth, step, links = "a bigint, b bigint", 0, max(1, (total // node_rows).bit_length()), None
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = []
-        for s in (0, 1):
-            one = pdf[pdf["side"] == s]
-            k = one["key"].to_numpy().view(np.uint64)
-            o = np.argsort(k, kind="stable")
-            sides.append((k[o], one["id"].to_numpy()[o]))
-        (ka, ia), (kb, ib) = sides
-        forest = Forest(len(ia) + len(ib))
-        for k, shift in ((None, 0), (kb, len(ia))):
+        (ka, kb) = (np.sort(pdf.loc[pdf["side"] == s, "key"].to_numpy().view(np.uint64)) for s in (0, 1))
+        forest = Forest(len(ka) + len(kb))
+        for k, shift in ((None, 0), (kb, len(ka))):
 
             def found(i: np.ndarray, j: np.ndarray, d: np.ndarray, shift=shift) -> None:
                 forest.add(i, j + shift, d)
 
             if len(ka) and (k is None or len(k)):
-                trie_links(ka, k, bits, budget, found)
-        ids = np.concatenate((ia, ib))
-        links = forest.reduce()
-        return pd.DataFrame({"a": ids[links[:, 0]], "b": ids[links[:, 1]]})
+                trie_links(ka, k, 64, budget, found)
+        every = np.concatenate((ka, kb)).view(np.int64)
+        found_links = forest.reduce()
+        return pd.DataFrame({"a": every[found_links[:, 0]], "b": every[found_links[:, 1]]})
 
-    dealt = keys.select("id", "trie", "key").mapInArrow(deal, "home bigint, side tinyint, id bigint, key bigint")
-    return dealt.groupBy("home").applyInPandas(join, schema)
+    while True:
+        dealt = rows.mapInArrow(_deal(depth, step, budget), "home bigint, side tinyint, spent tinyint, key bigint")
+        depth += step
+        at_home = F.count_if(F.col("side") == 0)
+        large = cut(dealt.groupBy("home").agg(at_home.alias("own"), F.count(F.lit(1)).alias("n")).filter((F.col("own") > 1) & (F.col("n") > group)).select("home"), "large")
+        n = large.count() if depth + LEVELS <= 62 else 0
+        done = (having(dealt, large, "left_anti") if n else dealt).select("home", "side", "key").groupBy("home").applyInPandas(join, schema)
+        links = done if links is None else links.unionByName(done)
+        if not n:
+            return links
+        rows, step = cut(having(dealt, large), "nodes"), LEVELS
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -339,36 +316,33 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         moved = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "moves")
         rounds.append(moved)
-        edges = edges.join(moved.select(F.col("a"), F.col("to").alias("x")), "a").join(moved.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        edges = cut(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).filter("a <> b").distinct(), "links")
+        joined = edges.join(moved.select(F.col("a"), F.col("to").alias("x")), "a").join(moved.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        after = cut(joined.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).filter("a <> b").distinct(), "links")
+        discard(edges)
+        edges = after
+    discard(edges)
     if not rounds:
         return links.sparkSession.createDataFrame([], "id bigint, component bigint")
     out = rounds[-1].select(F.col("a").alias("id"), F.col("to").alias("component"))
     for moved in rounds[-2::-1]:
         later = out.select(F.col("id").alias("to"), F.col("component"))
         out = moved.join(later, "to", "left").select(F.col("a").alias("id"), F.coalesce("component", "to").alias("component"))
+    out = cut(out, "components")
+    discard(*rounds)
     return out
 
 
-def _classes(prints: DataFrame, id_: str, fingerprint: str) -> DataFrame:
-    """One row a fingerprint: ``rep``, its smallest id, and ``n``, its rows."""
-    return cut(prints.groupBy(fingerprint).agg(F.min(id_).alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-
-
-def _with_component(prints: DataFrame, classes: DataFrame, links: DataFrame, id_: str, fingerprint: str) -> DataFrame:
-    found = components(links)
-    label = classes.join(found, classes["rep"] == found["id"], "left").select(fingerprint, "n", F.coalesce("component", "rep").alias("component_id"))
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    return skewed_left_join(prints, label, fingerprint, "n", total, F.xxhash64(F.col(id_)))
-
-
-def simhash_components(df: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
+def simhash_components(df: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 3, budget: int = BUDGET) -> DataFrame:
     """(id, fingerprint in hex, component_id): texts whose 64-bit fingerprints differ in ``budget`` bits at most are linked."""
-    prints = cut(with_fingerprint(df.select(F.col(id_), F.col(text)), words, 1, text), "prints")
-    classes = _classes(prints, id_, "fingerprint")
-    keys = classes.filter("rep is not null").select(F.col("rep").alias("id"), F.lit(0).alias("trie"), _long("fingerprint", 0).alias("key"))
-    out = _with_component(prints, classes, trie_self_join(keys, 64, budget), id_, "fingerprint")
-    return out.select(F.col(id_), F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+    prints = cut(with_fingerprint(df.select(F.col(id_).alias("id"), F.col(text).alias("text")), words, 1), "prints")
+    classes = cut(prints.groupBy("fingerprint").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("key", _long("fingerprint", 0)), "classes")
+    found = components(trie_self_join(classes.select("key"), budget))
+    parted = classes.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = parted.groupBy("component").agg(F.min("rep").alias("component_id"))
+    label = parted.join(least, "component").select("fingerprint", "n", "component_id")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    out = skewed_left_join(prints, label, "fingerprint", "n", total, F.xxhash64("id"))
+    return out.select(F.col("id").alias(id_), F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def _long(binary: str, word: int):
@@ -382,68 +356,80 @@ def _least_shared(n: np.ndarray | int):
     return -(-PER_CENT * n // 100)
 
 
-def shingle_sets(df: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, row, text_digest, digest, size, shingles): each row's distinct shingle hashes, ascending, and their digest."""
-    rows = df.select(F.col(id_).alias("id"), F.monotonically_increasing_id().alias("row"), F.sha2(F.encode(F.col(text), "UTF-8"), 256).alias("text_digest"), F.col(text).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(x.as_py(), COPY_WORDS)])) for x in batch.column("text")]
-            held = [x.tobytes() for x in sets]
-            more = [pa.array([blake2b(x, digest_size=16).digest() for x in held], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array(held, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "row", "text_digest")), *more], names=["id", "row", "text_digest", "digest", "size", "shingles"])
-
-    schema = rows.drop("text").schema.add("digest", "binary", False).add("size", "integer", False).add("shingles", "binary", False)
-    return rows.mapInArrow(run, schema)
+def _set(text: str | None) -> np.ndarray:
+    """A text's distinct shingle hashes, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, COPY_WORDS)]))
 
 
-def frequent_shingles(sets: DataFrame, total: int) -> np.ndarray:
-    """Shingles that many of SAMPLE_SETS sets hold, rarest first. They only order the shingles: any order gives the same pairs."""
-    some = sets if total <= SAMPLE_SETS else sets.filter(F.pmod(F.xxhash64("row"), F.lit(total)) < SAMPLE_SETS)
+def frequent_shingles(rows: DataFrame, total: int) -> np.ndarray:
+    """Shingles that many of SAMPLE_SETS texts hold, rarest first. They only order the shingles: any order gives the same pairs."""
+    some = rows if total <= SAMPLE_SETS else rows.filter(F.pmod(F.xxhash64("number"), F.lit(total)) < SAMPLE_SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=np.int64)
-            for i in range(0, len(found), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16)])], names=["token"])
+            for text in batch.column("text"):
+                found = _set(text.as_py()).view(np.int64)
+                for i in range(0, len(found), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16)])], names=["token"])
 
-    counts = some.select("shingles").mapInArrow(run, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
+    counts = some.select("text").mapInArrow(run, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
     got = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
     return got["token"].to_numpy()[::-1].view(np.uint64)
 
 
-def prefix_postings(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, row, class_key, size, pos): the shingles of each set's prefix, frequent ones ordered last.
+def shingle_prefixes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(id, number, digest, key, size, plain, prefix) of ``rows`` (id, number, text).
+
+    ``digest`` is that of the set of shingles, ``key`` its fingerprint, ``size`` its
+    size; ``prefix`` holds the set's first shingles in an order common to all,
+    frequent ones last; the first ``plain`` of them aren't frequent.
 
     A set of n shares s = _least_shared(n) shingles with any set alike to it, so
-    the first shared one, in an order common to all, is among its first n - s + 1.
+    the first shared one is among its first n - s + 1.
     """
     order = np.argsort(frequent)
-    sent = sets.sparkSession.sparkContext.broadcast((frequent[order], (order + 1).astype(np.int64)))
+    sent = rows.sparkSession.sparkContext.broadcast((frequent[order], (order + 1).astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = sent.value
         for batch in batches:
-            prefixes = []
-            for held in batch.column("shingles").to_pylist():
-                own = np.frombuffer(held, dtype=np.uint64)
-                most = len(own) - _least_shared(len(own)) + 1 if len(own) else 0
-                if len(known) and len(own):
+            out = []
+            for text in batch.column("text"):
+                own = _set(text.as_py())
+                digest = blake2b(own.tobytes(), digest_size=16).digest()
+                key = int(np.packbits(bit_counts(own[:, None]) * 2 > len(own), bitorder="little").view("<i8")[0])
+                plain = most = len(own) - _least_shared(len(own)) + 1 if len(own) else 0
+                n = len(own)
+                if len(known) and n:
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     rank = np.where(known[at] == own, ranks[at], 0)
                     if rank.any():
+                        plain = min(most, int((rank == 0).sum()))
                         own = own[np.argsort(rank, kind="stable")]
-                prefixes.append(own[:most])
-            counts = [len(x) for x in prefixes]
-            take = np.repeat(np.arange(len(counts)), counts)
-            tokens = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, dtype=np.int64)
-            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in counts]) if counts else np.zeros(0, dtype=np.int32)
-            row, key, size = batch.column("row").to_numpy(), batch.column("class_key").to_numpy(), batch.column("size").to_numpy()
-            for i in range(0, len(take), 1 << 16):
-                t = take[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens[i : i + (1 << 16)], row[t], key[t], size[t], pos[i : i + (1 << 16)])], names=["token", "row", "class_key", "size", "pos"])
+                out.append((digest, key, n, plain, own[:most].tobytes()))
+            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("number"), *columns], names=["id", "number", "digest", "key", "size", "plain", "prefix"])
+
+    schema = rows.select("id", "number").schema
+    for name, kind in (("digest", "binary"), ("key", "long"), ("size", "integer"), ("plain", "integer"), ("prefix", "binary")):
+        schema = schema.add(name, kind, False)
+    return rows.select("id", "number", "text").mapInArrow(run, schema)
+
+
+def postings_of(prefixes: DataFrame) -> DataFrame:
+    """(token, number, size, pos, often): a row for each shingle of each prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, size, plain, held in zip(*(batch.column(c).to_pylist() for c in ("number", "size", "plain", "prefix")), strict=True):
+                token = np.frombuffer(held, dtype=np.int64)
+                for i in range(0, len(token), 1 << 16):
+                    t = token[i : i + (1 << 16)]
+                    pos = np.arange(i, i + len(t), dtype=np.int32)
+                    columns = (t, np.full(len(t), number, dtype=np.int64), np.full(len(t), size, dtype=np.int32), pos, pos >= plain)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "number", "size", "pos", "often"])
 
-    return sets.select("row", F.xxhash64("digest").alias("class_key"), "size", "shingles").mapInArrow(run, "token bigint, row bigint, class_key bigint, size int, pos int")
+    return prefixes.select("number", "size", "plain", "prefix").mapInArrow(run, "token bigint, number bigint, size int, pos int, often boolean")
 
 
 def _can_be_alike(a: str, b: str):
@@ -453,12 +439,15 @@ def _can_be_alike(a: str, b: str):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * PER_CENT) & (after * (100 + PER_CENT) >= (n + m) * PER_CENT)
 
 
-def alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of ``sets`` (number, shingles) that are alike to COPY_SIMILARITY or more."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
-    ids = cut(ids, "ids")
-    # without a broadcast all sets would be shuffled
-    own = cut(sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "number", "left_semi"), "compared")
+def alike(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of ``rows`` (number, text) whose sets are alike to COPY_SIMILARITY or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array([_set(x.as_py()).tobytes() for x in batch.column("text")], pa.binary())], names=["number", "shingles"])
+
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "ids")
+    own = cut(having(rows.select("number", "text"), ids).mapInArrow(sets, "number bigint, shingles binary"), "compared")
     both = pairs.join(own.select(F.col("number").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("number").alias("b"), F.col("shingles").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,19 +459,19 @@ def alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 good.append(shared * 100 >= PER_CENT * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    out = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "alike")
+    discard(ids, own)
+    return out
 
 
-def alike_links(sets: DataFrame, postings: DataFrame, classes: int) -> DataFrame:
-    """Links (a, b) of alike sets that connect what all pairs alike connect.
+def alike_links(rows: DataFrame, postings: DataFrame, links: DataFrame, classes: int) -> DataFrame:
+    """``links`` (a, b) of alike sets and more of them, so that they connect what all pairs alike connect.
 
     ``postings`` (token, number, size, pos) hold each set's prefix. In a round
     each shingle's sets are compared with one of them; links found join parts,
     and only pairs between different parts stay open. When a round no longer
     halves the open pairs, or few are left, every open pair is compared.
     """
-    spark = postings.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
     before, turn = None, 0
     while True:
         parts = components(links)
@@ -493,52 +482,66 @@ def alike_links(sets: DataFrame, postings: DataFrame, classes: int) -> DataFrame
         if not left:
             return links
         at = cut(at.join(open_.select("token", "n"), "token"), "postings")
+        if turn:
+            discard(postings)
+        discard(parts, open_)
         if left <= PAIRS_A_CLASS * classes or (before is not None and left > before / 2):
             break
         row = F.struct(F.xxhash64(F.col("number"), F.lit(turn)).alias("h"), "number", "size", "pos", "part")
         middle = at.groupBy("token").agg(F.min(row).alias("m")).select("token", "m.*")
         near = at.alias("a").join(middle.alias("b"), "token").filter("a.part <> b.part").filter(_can_be_alike("a", "b"))
-        links = cut(links.unionByName(alike(sets, _pairs(near))), "links")
+        links = cut(links.unionByName(alike(rows, _pairs(near))), "links")
+        postings = at.drop("n", "part")
         before, turn = left, turn + 1
     # blocks of a frequent shingle's sets meet in separate tasks
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     one = at.withColumn("block", F.pmod(F.xxhash64("number"), blocks).cast("int"))
     other = at.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = one.alias("a").join(other.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.number") < F.col("b.number")) & (F.col("a.part") != F.col("b.part")) & _can_be_alike("a", "b"))
-    return cut(links.unionByName(alike(sets, _pairs(rest))), "links")
+    return cut(links.unionByName(alike(rows, _pairs(rest))), "links")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
     return cut(met.select(F.least("a.number", "b.number").alias("a"), F.greatest("a.number", "b.number").alias("b")).distinct(), "candidates")
 
 
-def copy_groups(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_digest, group, component_id) of every row; ``group`` numbers the groups of ``near_copies``.
+def _fingerprint_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of ``sets`` (number, key) that the trie join proposes and the check confirms."""
+    first = cut(sets.groupBy("key").agg(F.min("number").alias("first")), "keys")
+    joined = trie_self_join(first.select("key")).join(first.select(F.col("key").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("key").alias("b"), F.col("first").alias("y")), "b")
+    same = sets.join(first, "key").select(F.col("first").alias("x"), F.col("number").alias("y")).filter("x <> y")
+    return alike(rows, cut(joined.select("x", "y").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "proposed"))
+
+
+def copy_groups(rows: DataFrame) -> DataFrame:
+    """(number, id, group, component_id) of ``rows`` (number, id, text): the groups that links of alike sets connect.
 
-    A row belongs to the group of its own text, whatever its id is.
+    ``number`` is a long of one's own for each row and ``rows`` can be read again (a
+    table, or what ``cut`` gives), so a row belongs to the group of its own text
+    whatever its id is. ``group`` is a number of the group's, ``component_id`` its
+    smallest id. The join is exact: only texts of equal shingle sets are one class
+    unchecked, fingerprints and then prefixes bring together every pair that
+    can be alike, and each link is checked on the whole sets.
     """
-    rows = cut(shingle_sets(df, id_, text), "shingles")
-    classes = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("row").alias("number"))
-    classes = cut(classes, "classes")
-    total, n_classes = classes.agg(F.sum("n"), F.count(F.lit(1))).first()
-    postings = prefix_postings(rows, frequent_shingles(rows, total or 0))
-    # shingles in the prefixes of one class alone bring nothing together
+    total = rows.count()
+    prefixes = cut(shingle_prefixes(rows, frequent_shingles(rows, total)), "prefixes")
+    classes = cut(prefixes.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("number").alias("number")), "classes")
+    n_classes = classes.count()
+    sets = prefixes if n_classes == total else prefixes.join(classes.select("number"), "number", "left_semi")
+    links = _fingerprint_links(rows, sets.select("number", "key"))
+    postings = postings_of(sets)
+    # a shingle in the prefix of one set alone brings nothing together; frequent ones stay without being counted
     every = Window.partitionBy("token")
-    shared = postings.withColumn("_lo", F.min("class_key").over(every)).withColumn("_hi", F.max("class_key").over(every)).filter("_lo <> _hi")
-    postings = cut(shared.select("token", F.col("row").alias("number"), "size", "pos").join(classes.select("number"), "number", "left_semi"), "prefixes")
-    sets = rows.select(F.col("row").alias("number"), "shingles")
-    found = components(alike_links(sets, postings, n_classes))
+    rare = postings.filter(~F.col("often")).withColumn("_n", F.count(F.lit(1)).over(every)).filter("_n > 1")
+    columns = ["token", "number", "size", "pos"]
+    found = components(alike_links(rows, cut(rare.select(columns).unionByName(postings.filter("often").select(columns)), "shared"), links, n_classes))
     grouped = classes.join(found, classes["number"] == found["id"], "left").select("digest", "rep", "n", F.coalesce("component", "number").alias("group"))
     first = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
     label = cut(grouped.join(first, "group").select("digest", "n", "group", "component_id"), "labels")
-    return skewed_left_join(rows.select("id", "row", "text_digest", "digest"), label, "digest", "n", total or 0, F.col("row")).select(F.col("id").alias(id_), "text_digest", "group", "component_id")
+    return skewed_left_join(prefixes.select("number", "id", "digest"), label, "digest", "n", total, F.col("number")).select("number", "id", "group", "component_id")
 
 
 def near_copies(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, component_id): documents linked by word shingles alike to COPY_SIMILARITY or more (Jaccard, of their sets).
-
-    The join is exact: only texts of equal shingle sets are one class unchecked,
-    prefixes bring together every pair that can be alike, and each link is
-    checked on the whole sets.
-    """
-    return copy_groups(df, id_, text).select(id_, "component_id")
+    """(id, component_id): documents linked by word shingles alike to COPY_SIMILARITY or more (Jaccard, of their sets)."""
+    rows = cut(df.select(F.col(id_).alias("id"), F.col(text).alias("text")).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    return copy_groups(rows).select(F.col("id").alias(id_), "component_id")

@@ -47,16 +47,59 @@ def test_fingerprints_and_components(documents, prose):
         assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got} == {(i, f"{print_[i]:016x}", want[i]) for i in print_}
 
 
-def test_small_nodes_lose_no_link(spark, monkeypatch):
+def joined(spark, keys, **how):
+    """Components of the trie join's links, by brute force and as found."""
+    df = spark.createDataFrame([(int(k.astype(np.int64)),) for k in keys], "key bigint")
+    got = {r["id"]: r["component"] for r in simhash.components(simhash.trie_self_join(df, **how)).collect()}
+    signed = [int(k.astype(np.int64)) for k in keys]
+    want = brute_components(range(len(keys)), lambda a, b: int(np.bitwise_count(keys[a] ^ keys[b])) <= 2)
+    least = {}
+    for n, k in enumerate(signed):
+        least[want[n]] = min(k, least.get(want[n], k))
+    return {k: got.get(k, k) for k in signed}, {k: least[want[n]] for n, k in enumerate(signed)}
+
+
+def test_small_nodes_lose_no_link(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     keys = np.unique(np.concatenate([base ^ np.uint64(1) << np.uint64(s) for s in range(0, 64, 3)] + [base, base[:1] ^ np.uint64(6)]))
-    rows = [(n, 0, int(k.astype(np.int64))) for n, k in enumerate(keys)]
-    df = spark.createDataFrame(rows, "id bigint, trie int, key bigint")
-    links = simhash.trie_self_join(df, 64, 2, node_rows=16)
-    want = brute_components([n for n, _, _ in rows], lambda a, b: int(np.bitwise_count(keys[a] ^ keys[b])) <= 2)
-    got = {r["id"]: r["component"] for r in simhash.components(links).collect()}
-    assert {i: got.get(i, i) for i in want} == want
+    for how in ({}, {"node_rows": 16}, {"node_rows": 16, "group": 20}, {"node_rows": 1 << 20, "group": 2}):
+        got, want = joined(spark, keys, **how)
+        assert got == want, how
+
+
+def test_hot_node_is_cut_down(spark):
+    """Keys that share their highest 40 bits: every level of the cut leaves them in one node until the group is bounded."""
+    rng = np.random.default_rng(2)
+    base = np.uint64(0xABCDEF0123 << 24)
+    keys = np.unique(np.concatenate([base + rng.integers(0, 1 << 24, 1500, dtype=np.uint64), base + np.arange(8, dtype=np.uint64)]))
+    got, want = joined(spark, keys, node_rows=64, group=500)
+    assert got == want
+
+
+def test_many_keys_of_one_node_in_bounded_groups(spark):
+    """10^5 keys under one prefix of 26 bits: no group of the join gets more rows than asked, and planted neighbours are found."""
+    rng = np.random.default_rng(3)
+    keys = np.uint64(0x155AA33 << 38) + np.unique(rng.integers(0, 1 << 38, 100_000, dtype=np.uint64))
+    near = np.setdiff1d(keys[::50] ^ np.uint64(1 << 7) ^ np.uint64(1 << 31), keys)
+    df = spark.createDataFrame([(int(k.astype(np.int64)),) for k in np.concatenate((keys, near))], "key bigint")
+    links = {tuple(sorted((r["a"], r["b"]))) for r in simhash.trie_self_join(df, node_rows=1 << 10, group=1 << 14).collect()}
+    got = {r["id"]: r["component"] for r in simhash.components(spark.createDataFrame(sorted(links), "a bigint, b bigint")).collect()}
+    pairs = [(int(k), int(k ^ np.uint64(1 << 7) ^ np.uint64(1 << 31))) for k in keys[::50]]
+    assert all(got[a] == got[b] for a, b in pairs)
+
+
+def test_ids_of_text_and_null(spark, documents, prose):
+    rows = [(None if i % 7 == 0 else f"d{i}", t, i) for i, t in prose]
+    got = simhash.simhash_components(spark.createDataFrame(rows, "doc_id string, text string, component bigint")).collect()
+    print_ = {k: brute_fingerprint(t) for k, (_, t, _) in enumerate(rows)}
+    part = brute_components(range(len(rows)), lambda a, b: (print_[a] ^ print_[b]).bit_count() <= 2)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        if i is not None:
+            least[part[k]] = min(i, least.get(part[k], i))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got)) == sorted(key((i, f"{print_[k]:016x}", least.get(part[k]))) for k, (i, _, _) in enumerate(rows))
 
 
 def test_near_copies(documents, prose):
