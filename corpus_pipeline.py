@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, pii, quality, queries, simhash
-from millrace.llm.common import cut, table
+from millrace.llm.common import cut, having, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +26,11 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A row is judged by its own text, whatever other rows have its id; a null id comes last.
     """
     queries.small_batches(spark)
-    found = simhash.copy_groups(docs)
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_digest")).alias("f")).select("f.doc_id", "f.text_digest")
-    named = docs.withColumn("_digest", text_digest())
-    kept = named.join(first, named["doc_id"].eqNullSafe(first["doc_id"]) & named["_digest"].eqNullSafe(first["text_digest"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    rows = cut(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("number")), "numbered")
+    groups = simhash.copy_groups(rows.select("number", "doc.doc_id", "doc.text").withColumnRenamed("doc_id", "id"))
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("first"))
+    kept = cut(first.select("first.number"), "kept")
+    return having(rows, kept).select("doc.*")
 
 
 def text_digest() -> Column:
@@ -41,7 +41,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents without a window of a benchmark item, each judged by its own text."""
     named = docs.withColumn("_digest", text_digest())
     found = decontam.contamination(named, table(spark, sf_dir, "benchmark"), id_="_digest").filter("n_hit > 0").select("_digest").distinct()
-    return named.join(found, "_digest", "left_anti").select(*docs.columns)
+    return having(named, cut(found, "hit"), "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
