@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import weakref
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,24 @@ def _at_exit(spark: SparkSession, path: str) -> None:
         _remove(spark, path)
 
 
+def bitmap(places: DataFrame, size: int) -> Column:
+    """A binary literal of ``size`` bits (a multiple of 64) with those at ``places`` (one column, longs) set; the driver gets ``size / 64`` words at most.
+
+    A literal may stand in a lambda, as a subquery may not.
+    """
+    p = F.col(places.columns[0])
+    words = places.groupBy(F.shiftright(p, 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(size // 64, dtype="<i8")
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return F.lit(out.tobytes())
+
+
+def has_bit(bits: Column, place: Column) -> Column:
+    """Whether the bit at a place of a ``bitmap`` is set."""
+    byte = F.conv(F.hex(F.substr(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.bit_get(byte, F.pmod(place, F.lit(8)).cast("int")) == 1
+
+
 def having(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """``rows`` whose key is among ``keys`` (a written table of one column), or isn't; by a broadcast if they are few, else all rows are shuffled."""
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, keys.columns[0], how)

@@ -15,13 +15,14 @@ the same cascade.
 The filters' size is bounded: level 1 takes 1.44 bits a listed key and halving
 of the false-positive rate, and the rate is set so that later levels halve. What
 grows with the corpus is one more bit a listed key each time the corpus
-doubles. It is checked against MAX_BITS; a longer list is tested by a semi-join
-on the listed keys instead.
+doubles. A list that would take over MAX_BITS is dealt into parts by a hash of
+the key; each part has its own cascade, over the corpus's keys of that part, and
+the urls are passed once a part.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is allowed; repeated rows are judged alike; an empty
-table or an empty list gives no blocks; extra columns pass through unless named
-like an output.
+table or an empty list gives no blocks; null rules are no rules; extra columns
+pass through unless named like an output.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bitmap, cut, has_bit
 
-#: Bits of one cascade at most; and the levels after which building stops with an error.
-MAX_BITS, MAX_LEVELS = 1 << 27, 64
+#: Bits of one cascade at most, about; and the levels after which building stops with an error.
+MAX_BITS, MAX_LEVELS = 1 << 25, 64
+#: Rules (host, path) as a list or as a table of both.
+Rules = list[tuple[str, str]] | DataFrame
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,7 +54,7 @@ def path_of(url: Column) -> Column:
 
 @dataclass
 class Level:
-    """A Bloom filter: ``bits`` holds the words of ``size`` bits; ``number`` seeds its ``hashes``."""
+    """A Bloom filter: ``bits`` is a bitmap of ``size`` bits; ``number`` seeds its ``hashes``."""
 
     number: int
     size: int
@@ -59,25 +62,18 @@ class Level:
     bits: Column
 
     def has(self, key: Column) -> Column:
-        out: Column = F.lit(True)
-        for place in _places(key, self.number, self.size, self.hashes):
-            out = out & (F.bit_get(F.get(self.bits, F.floor(place / 64).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1)
-        return out
+        return F.forall(_places(key, self.number, self.size, self.hashes), lambda p: has_bit(self.bits, p))
 
 
-def _places(key: Column, level: int, size: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level * 1000 + k)), F.lit(size)) for k in range(hashes)]
+def _places(key: Column, level: int, size: int, hashes: int) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(key, F.lit(level * 1000 + k)), F.lit(size)) for k in range(hashes)])
 
 
 def _level(keys: DataFrame, n: int, number: int, rate: float) -> Level:
     """A filter of the ``n`` distinct ``keys`` with about this rate of false positives; its bits are set on the executors."""
     hashes = max(1, round(-math.log2(rate)))
     size = max(64, -(-math.ceil(n * hashes / math.log(2)) // 64) * 64)
-    places = keys.select(F.explode(F.array(*_places(F.col("key"), number, size, hashes))).alias("p"))
-    words = places.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    held = dict(words.collect())  # at most size / 64 rows, and size is checked
-    dense = keys.sparkSession.createDataFrame([([held.get(w, 0) for w in range(size // 64)],)], "bits array<bigint>")
-    return Level(number, size, hashes, dense.scalar())
+    return Level(number, size, hashes, bitmap(keys.select(F.explode(_places(F.col("key"), number, size, hashes)).alias("p")), size))
 
 
 @dataclass
@@ -93,20 +89,27 @@ class Cascade:
         return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade | None:
-    """The cascade of ``listed`` (key) over ``universe`` (key); None if it would take over MAX_BITS.
+def cascade_rate(n: int, others: int) -> float:
+    """Level 1's rate of false positives for ``n`` listed keys among ``others``."""
+    return min(0.5, n * math.sqrt(0.5) / max(1, others))
+
+
+def cascade_parts(n: int, others: int) -> int:
+    """Parts that a list is dealt into, so that a cascade takes about MAX_BITS."""
+    return max(1, math.ceil(n * (1.44 * math.log2(1 / cascade_rate(n, others)) + 8) / MAX_BITS)) if n else 1
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, others: int) -> Cascade:
+    """The cascade of ``listed`` (key) over ``universe`` (key) of about ``others`` distinct keys.
 
     Each level's filter runs over the universe before anything is shuffled, so
     what is made distinct is the listed keys' own size.
     """
     yes = cut(listed.select("key").filter("key is not null").distinct(), "listed")
-    n, others = yes.count(), universe.agg(F.approx_count_distinct("key", 0.02)).first()[0]
+    n = yes.count()
     if not n:
         return Cascade([])
-    rate = min(0.5, n * math.sqrt(0.5) / max(1, others))
-    if n * (1.44 * math.log2(1 / rate) + 8) > MAX_BITS:
-        return None
-    levels = [_level(yes, n, 0, rate)]
+    levels = [_level(yes, n, 0, cascade_rate(n, others))]
     no = cut(universe.select("key").filter(F.col("key").isNotNull() & levels[0].has(F.col("key"))).distinct().join(yes, "key", "left_anti"), "passed")
     ours, theirs = yes, no
     while (m := theirs.count()) and len(levels) < MAX_LEVELS:
@@ -118,50 +121,65 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade | None:
     return Cascade(levels)
 
 
-def _candidates(rules: list[tuple[str, str]]) -> list[Column]:
-    """The rule strings that could fit a row's (host, path), one for each number of labels and path length among the rules; null if its path is too short."""
-    shapes = sorted({(r[0].count(".") + 1, len(r[1])) for r in rules})
-    return [F.when((F.length("path") >= n) & (F.col("host") != ""), F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, n))) for labels, n in shapes]
+def _table(spark: SparkSession, rules: Rules) -> DataFrame:
+    """Rules as a table of (host, path)."""
+    out = rules.toDF("host", "path") if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string")
+    return out.filter("host is not null and path is not null").distinct()
+
+
+def _candidates(shapes: list[tuple[int, int]]) -> Column:
+    """The rule strings that could fit a row's (host, path): one for each (labels, path length) among the rules that its path is long enough for."""
+    held = F.array(*[F.struct(F.lit(labels).alias("labels"), F.lit(n).alias("n")) for labels, n in shapes]) if shapes else F.array().cast("array<struct<labels:int,n:int>>")
+    some = F.filter(held, lambda s: (F.length("path") >= s["n"]) & (F.col("host") != ""))
+    return F.array_distinct(F.transform(some, lambda s: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"]), F.substr(F.col("path"), F.lit(1), s["n"]))))
 
 
-def _parents(hosts: list[str]) -> list[Column]:
+def _parents(labels: list[int]) -> Column:
     """The host keys that could fit, one for each number of labels among the listed hosts."""
-    return [F.concat(F.lit("host:"), F.substring_index("host", ".", -n)) for n in sorted({h.count(".") + 1 for h in hosts})]
+    held = F.array(*map(F.lit, labels)) if labels else F.array().cast("array<int>")
+    return F.array_distinct(F.transform(held, lambda n: F.concat(F.lit("host:"), F.call_function("substring_index", F.col("host"), F.lit("."), -n))))
 
 
-def judge_urls(df: DataFrame, block: list[tuple[str, str]], allow: list[tuple[str, str]], hosts: list[str] = (), url: str = "url") -> DataFrame:
+def judge_urls(df: DataFrame, block: Rules, allow: Rules, hosts: list[str] | DataFrame = (), url: str = "url") -> DataFrame:
     """``df`` with host, path, rule (the longest that fits, else null) and verdict ('allow' or 'block').
 
-    ``block`` and ``allow`` are rules (host, path); ``hosts`` are blocked with
-    their subdomains where no rule fits.
+    ``block`` and ``allow`` are rules (host, path), as lists or tables; of a rule
+    in both, the block counts. ``hosts`` (a list, or a table of one column) are
+    blocked with their subdomains where no rule fits. The driver gets the shapes of
+    the rules (numbers of labels and path lengths) alone.
     """
     spark = df.sparkSession
     names = ["host", "path", "rule", "verdict"]
     rows = df.select(*[c for c in df.columns if c not in names or c == url]).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    rules = [*block, *allow]
-    fits, parents = _candidates(rules), _parents(hosts)
-    universe = rows.select(F.explode(F.array(*fits, *parents, F.lit(None).cast("string"))).alias("key")).filter("key is not null")
-    one = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
-    listed = one(sorted({h + p for h, p in rules} | {f"host:{h}" for h in hosts}))
-    every, blocked = build_cascade(listed, universe), build_cascade(one(sorted({h + p for h, p in block})), one(sorted({h + p for h, p in rules})))
-    if every is None or blocked is None:
-        return _judge_by_join(rows, rules, block, hosts)
+    blocks, allows = _table(spark, block), _table(spark, allow)
+    bad = (hosts.toDF("host") if isinstance(hosts, DataFrame) else spark.createDataFrame([(h,) for h in hosts], "host string")).filter("host is not null")
+    labels = F.size(F.split("host", "\\."))
+    rules = cut(blocks.unionByName(allows).distinct().select(F.concat("host", "path").alias("key"), labels.alias("labels"), F.length("path").alias("n")), "rules")
+    shapes = sorted((r["labels"], r["n"]) for r in rules.select("labels", "n").distinct().collect())
+    fits, parents = _candidates(shapes), _parents(sorted(r["labels"] for r in bad.select(labels.alias("labels")).distinct().collect()))
+    universe = rows.select(F.explode(F.concat(fits, parents)).alias("key"))
+    listed = cut(rules.select("key").unionByName(bad.select(F.concat(F.lit("host:"), F.col("host")).alias("key"))).distinct(), "listed")
+    n, others = listed.count(), universe.agg(F.approx_count_distinct("key", 0.02)).first()[0]
+    parts = cascade_parts(n, others)
+    part_of = lambda key: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
     none = F.lit(None).cast("struct<length:int,key:string>")
-    longest = F.greatest(none, none, *[F.when(every.lists(k), F.struct(F.length(k).alias("length"), k.alias("key"))) for k in fits])
-    rows = rows.withColumn("rule", longest["key"])
-    by_host: Column = F.lit(False)
-    for k in parents:
-        by_host = by_host | every.lists(k)
-    blocks = F.when(F.col("rule").isNotNull(), blocked.lists(F.col("rule"))).otherwise(by_host)
-    return rows.withColumn("verdict", F.when(blocks, "block").otherwise("allow"))
-
-
-def _judge_by_join(rows: DataFrame, rules: list[tuple[str, str]], block: list[tuple[str, str]], hosts: list[str]) -> DataFrame:
-    """The same for lists too long for a cascade: the keys found in the corpus, joined on (host, path)."""
-    spark = rows.sparkSession
-    blocked = {h + p for h, p in block}
-    known = spark.createDataFrame([(h + p, "block" if h + p in blocked else "allow", h + p) for h, p in rules] + [(f"host:{h}", "block", None) for h in hosts], "key string, verdict string, rule string")
-    places = rows.select("host", "path").distinct()
-    keys = places.select("host", "path", F.explode(F.array(*_candidates(rules), *_parents(hosts), F.lit(None).cast("string"))).alias("key")).filter("key is not null")
-    best = keys.join(known, "key").groupBy("host", "path").agg(F.max(F.struct(F.coalesce(F.length("rule"), F.lit(-1)).alias("n"), "rule", "verdict")).alias("best"))
-    return rows.join(best, ["host", "path"], "left").withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce(F.col("best.verdict"), F.lit("allow"))}).drop("best")
+    rows = rows.withColumns({"_best": none, "_blocked": F.lit(False)})
+    for part in range(parts):
+        mine = (lambda key: part_of(key) == part) if parts > 1 else lambda key: F.lit(True)  # noqa: B023
+        cascade = build_cascade(listed.filter(mine(F.col("key"))), universe.filter(mine(F.col("key"))), others // parts + 1)
+        found = F.array_max(F.transform(F.filter(fits, lambda k: mine(k) & cascade.lists(k)), lambda k: F.struct(F.length(k).alias("length"), k.alias("key"))))  # noqa: B023
+        rows = rows.withColumns({"_best": F.greatest("_best", found), "_blocked": F.col("_blocked") | F.exists(parents, lambda k: mine(k) & cascade.lists(k))})  # noqa: B023
+        if parts > 1:
+            rows = cut(rows, "judged")
+    # which of the rules block is a list of its own, whose universe are the rules
+    keys = cut(blocks.select(F.concat("host", "path").alias("key")).distinct(), "blocks")
+    n_blocks, rows = keys.count(), rows.withColumn("rule", F.col("_best.key"))
+    says: Column = F.lit(False)
+    few = cascade_parts(n_blocks, n)
+    for part in range(few):
+        mine = (lambda key: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(few)) == part) if few > 1 else lambda key: F.lit(True)  # noqa: B023
+        says = says | mine(F.col("rule")) & build_cascade(keys.filter(mine(F.col("key"))), rules.filter(mine(F.col("key"))), n // few + 1).lists(F.col("rule"))
+        if few > 1:
+            rows, says = cut(rows.withColumn("_says", says), "judged"), F.col("_says")
+    verdict = F.when(F.when(F.col("rule").isNotNull(), says).otherwise(F.col("_blocked")), "block").otherwise("allow")
+    return rows.withColumn("verdict", verdict).drop("_best", "_blocked", "_says")

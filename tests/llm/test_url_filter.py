@@ -26,14 +26,29 @@ def test_verdicts(spark, monkeypatch):
     want = sorted((str((n, *brute(u))) for n, u in rows))
     judged = lambda: sorted(str((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"])) for r in url_filter.judge_urls(pages, BLOCK, ALLOW, HOSTS).collect())
     assert judged() == want
-    monkeypatch.setattr(url_filter, "MAX_BITS", 1)
-    assert judged() == want
+    monkeypatch.setattr(url_filter, "MAX_BITS", 30)
+    assert url_filter.cascade_parts(7, 10) > 1 and judged() == want
+
+
+def test_rules_as_tables(spark):
+    pages = spark.createDataFrame([(n, u) for n, u in enumerate(URLS)], "page_id bigint, url string")
+    rules = lambda some: spark.createDataFrame([*some, (None, "/"), ("q", None)], "h string, p string")
+    hosts = spark.createDataFrame([(h,) for h in [*HOSTS, None, *(f"h{n}.example" for n in range(3000))]], "domain string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules(BLOCK), rules(ALLOW), hosts).collect()}
+    assert got == {n: brute(u) for n, u in enumerate(URLS)}
+
+
+def test_hundreds_of_rule_shapes(spark):
+    block = [(".".join(["x"] * labels), "/" + "y" * n) for labels in range(1, 20) for n in range(20)]
+    urls = [(labels * 100 + n, "http://" + ".".join(["x"] * labels) + "/" + "y" * n) for labels in (1, 7, 25) for n in (0, 5, 40)]
+    got = {r["page_id"]: r["rule"] for r in url_filter.judge_urls(spark.createDataFrame(urls, "page_id bigint, url string"), block, []).collect()}
+    assert got == {k: ".".join(["x"] * min(19, k // 100)) + "/" + "y" * min(19, k % 100) for k, _ in urls}
 
 
 def test_cascade_is_exact(spark):
     listed = spark.range(0, 300).selectExpr("concat('k', id) as key")
     universe = spark.range(0, 20_000).selectExpr("concat('k', id) as key")
-    cascade = url_filter.build_cascade(listed, universe)
+    cascade = url_filter.build_cascade(listed, universe, 20_000)
     assert len(cascade.levels) > 2
     got = universe.select("key", cascade.lists(universe["key"]).alias("in")).filter("in").collect()
     assert {r["key"] for r in got} == {f"k{n}" for n in range(300)}
