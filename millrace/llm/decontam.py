@@ -1,22 +1,28 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The index holds, for each posting of a wanted term, its document row, position
-and the neighbouring tokens. A phrase (a window of an item's words) is sought
-from its rarest term, by the term's count in the whole corpus: the lists of the
-other terms are intersected at their offsets, outward from that term, in the
-posting's neighbours, so no document text is fetched again. Proximity queries
-use the same postings. Only DataFrame functions are used.
-
-Which terms are indexed follows from the benchmark: each window's rarest term.
-The benchmark's side of the joins is broadcast while it has at most
-BROADCAST_TERMS rows, which is counted first; beyond that Spark's shuffled joins
-are used.
+The index holds a posting (term, row, position) for each token of the corpus,
+in segments: each task writes the postings of its documents sorted by term, so
+nothing is shuffled to build it, and a reader of a few terms skips the rest. It
+can be kept and asked again with another test set.
+
+A phrase (a window of an item's words) is sought by intersecting posting lists
+at their offsets, rarest term first: a posting of the item's p-th word at
+position x says that the item may lie at x - p of the row. The lists of each
+window's rarest and second rarest terms, adjusted by their offsets, are
+intersected; of the alignments that are left, the lists of the words around
+follow, and ten that agree in a row are an exact match. Proximity queries use the
+same lists, from the rarest word outwards. Only DataFrame functions are used.
+
+The test set's side of a join is broadcast while it takes at most
+BROADCAST_BYTES, which is measured first; beyond that Spark's shuffled joins are
+used, which split terms that very many rows hold.
 
 Defined results: null, empty and wordless texts have no words and no hits; an
 item without words has no window; an item shorter than a window is one window;
 repeated rows, of documents or items, are judged each on its own; with an empty
 benchmark or empty documents nothing is hit. Items of one id are one item in
-the count and the list; items with null ids hit words and are in neither.
+the count and the list; items with null ids hit words and are in neither. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +34,8 @@ from .common import cut
 
 #: Consecutive item words in a window.
 WINDOW = 10
-#: Rows of the benchmark's side up to which it is broadcast.
-BROADCAST_TERMS = 1_000_000
+#: Bytes of the test set's side up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,106 +49,102 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df``, a written table, to be broadcast if its rows take no more than BROADCAST_BYTES: 16 bytes a value and the texts' own."""
+    own = sum((F.octet_length(c) for c, kind in df.dtypes if kind == "string"), F.lit(0))
+    held = df.agg(F.coalesce(F.sum(F.coalesce(own, F.lit(0)) + 16 * len(df.columns)), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int, text: str = "text") -> DataFrame:
-    """(term, cf): how often each of ``terms`` occurs in the corpus."""
-    tokens = docs.select(F.explode(words_of(F.col(text))).alias("term"))
-    return tokens.join(_bounded(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-
-
-def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, reach: int, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings (term, row, id, pos, before, after) of ``terms``, and one row of term '' for each document, whose ``pos`` is its number of words.
-
-    ``before`` holds up to ``reach`` preceding words, nearest first; ``after``
-    the following ones. The caller writes the index, so ``row`` is fixed.
-    """
+def build_index(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The index (term, row, pos), and the rows (row, id, n_words) of the documents. Both are written tables."""
     doc = docs.select(F.col(id_).alias("id"), words_of(F.col(text)).alias("words")).withColumn("row", F.monotonically_increasing_id())
-    tokens = doc.select("row", "id", "words", F.posexplode(F.concat(F.array(F.lit("")), F.col("words"))).alias("at", "term"))
-    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
-    found = tokens.join(_bounded(wanted, n_terms + 1), "term", "left_semi")
-    near = F.least(F.col("at") - 1, F.lit(reach))
-    is_doc = F.col("term") == ""
-    none = F.array().cast("array<string>")
-    return found.select(
-        "term", "row", "id",
-        F.when(is_doc, F.size("words")).otherwise(F.col("at") - 1).alias("pos"),
-        F.when(is_doc, none).otherwise(F.reverse(F.slice("words", F.greatest(F.col("at") - near, F.lit(1)), F.greatest(near, F.lit(0))))).alias("before"),
-        F.when(is_doc, none).otherwise(F.slice("words", F.col("at") + 1, F.lit(reach))).alias("after"),
-    )
+    tokens = doc.select("row", "id", F.size("words").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("pos", "term"))
+    # the term '' stands for the document itself
+    kept = tokens.select("term", "row", (F.col("pos") - 1).alias("pos"), F.when(F.col("term") == "", F.struct("id", "n_words")).alias("doc"))
+    index = cut(kept.sortWithinPartitions("term", "row", "pos"), "index")
+    return index.filter("term <> ''").select("term", "row", "pos"), index.filter("term = ''").select("row", "doc.id", F.col("doc.n_words").cast("bigint").alias("n_words"))
 
 
-def _agree(a: str, b: str) -> Column:
-    """How many leading elements of two arrays agree."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same).cast("bigint"))
+def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, cf): how often each of ``terms`` occurs in the corpus."""
+    return index.join(_bounded(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
 
 
-def anchors_of(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(term, item, item_id, need, i_before, i_after): for each item the places that are the rarest of some window.
+def rarest_pairs(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """(item, need, p1, t1, p2, t2): the places and terms of the rarest and second rarest word of each window of each item.
 
-    ``items`` has item (a unique number), item_id and words. Ties go to the
-    first place.
+    ``items`` has item (a unique number) and words. Ties go to the first place;
+    windows with a word that the corpus lacks are left out; of windows of one
+    word the second is the first.
     """
     places = items.select("item", F.posexplode("words").alias("at", "term")).join(counts, "term", "left")
-    ranked = places.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("cf", F.lit(0)).alias("cf")))).alias("cfs"))
+    ranked = places.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("cf", F.lit(0)).alias("cf"), "term"))).alias("words"))
     need = F.least(F.size("words"), F.lit(window))
     best = F.transform(
         F.sequence(F.lit(1), F.size("words") - need + 1),
-        lambda s: F.array_min(F.transform(F.slice("cfs", s, need), lambda x: F.struct(x["cf"].alias("cf"), x["at"].alias("at")))),
+        lambda s: F.slice(F.array_sort(F.transform(F.slice("words", s, need), lambda x: F.struct(x["cf"].alias("cf"), x["at"].alias("at"), x["term"].alias("term")))), 1, 2),
     )
-    at = items.join(ranked, "item").select("item", "item_id", "words", need.alias("need"), F.explode(F.array_distinct(best)).alias("a")).filter("a.cf > 0")
-    p = F.col("a.at")
-    near = F.least(p, F.lit(window - 1))
-    return at.select(
-        F.element_at("words", p + 1).alias("term"), "item", "item_id", "need",
-        F.reverse(F.slice("words", F.greatest(p - near + 1, F.lit(1)), near)).alias("i_before"),
-        F.slice("words", p + 2, F.lit(window - 1)).alias("i_after"),
-    )
+    pairs = ranked.select("item", need.alias("need"), F.explode(F.array_distinct(best)).alias("b")).filter(F.get("b", F.lit(0))["cf"] > 0)
+    first, second = F.get("b", F.lit(0)), F.coalesce(F.get("b", F.lit(1)), F.get("b", F.lit(0)))
+    return pairs.select("item", "need", first["at"].alias("p1"), first["term"].alias("t1"), second["at"].alias("p2"), second["term"].alias("t2"))
+
 
+def alignments(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(row, item, need, start, p1): where the lists of both terms of a pair agree that the item lies, and the rarest word's place in it."""
+    side = lambda n: index.join(_bounded(pairs.withColumnRenamed(f"t{n}", "term")), "term").select("row", "item", "need", (F.col("pos") - F.col(f"p{n}")).alias("start"), "p1", "p2")
+    return side(1).join(side(2), ["row", "item", "need", "start", "p1", "p2"], "left_semi").select("row", "item", "need", "start", "p1").distinct()
 
-def phrase_matches(index: DataFrame, anchors: DataFrame, n_anchors: int) -> DataFrame:
-    """(row, id, item, item_id, start, end): runs of document words, around an anchor, that hold a window of the item; exact."""
-    near = index.join(_bounded(anchors, n_anchors), "term")
-    first = lambda a: F.coalesce(F.get(F.col(a), F.lit(0)), F.lit(""))
-    near = near.filter((F.col("need") == 1) | (F.get("before", F.lit(0)) == first("i_before")) | (F.get("after", F.lit(0)) == first("i_after")))
-    runs = near.select("row", "id", "item", "item_id", "need", "pos", _agree("before", "i_before").alias("left"), _agree("after", "i_after").alias("right"))
-    return runs.filter(F.col("left") + F.col("right") + 1 >= F.col("need")).select("row", "id", "item", "item_id", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
 
+def phrase_matches(index: DataFrame, items: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
+    """(row, item, start, end): runs of ``window`` document words that are a window of the item; exact."""
+    aligned = cut(alignments(index, pairs), "aligned")
+    rows = cut(aligned.select("row").distinct(), "rows")
+    # the item's words around the rarest one, each where it has to be in the row
+    around = aligned.join(_bounded(items.select("item", F.posexplode("words").alias("at", "term")).transform(lambda x: cut(x, "places"))), "item").filter(F.abs(F.col("at") - F.col("p1")) < window)
+    wanted = around.select("row", "item", "need", "start", "at", "term", (F.col("start") + F.col("at")).alias("pos")).distinct()
+    held = index.join(_bounded(rows), "row", "left_semi")
+    agreed = wanted.join(held, ["row", "pos", "term"]).groupBy("row", "item", "need", "start").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    # need places in a row
+    ends = F.filter(F.transform("at", lambda a, i: F.struct(a.alias("from"), F.get("at", i + F.col("need") - 1).alias("to"))), lambda x: x["to"] == x["from"] + F.col("need") - 1)
+    runs = agreed.select("row", "item", "start", F.explode(ends).alias("e"))
+    return runs.select("row", "item", (F.col("start") + F.col("e.from")).cast("bigint").alias("start"), (F.col("start") + F.col("e.to")).cast("bigint").alias("end"))
 
-def proximity_matches(docs: DataFrame, queries: DataFrame, distance: int, id_: str = "doc_id", text: str = "text") -> DataFrame:
+
+def proximity_matches(docs: DataFrame, queries: DataFrame, distance: int, id_: str = "doc_id", text: str = "text", query_id: str = "query_id", query_text: str = "text") -> DataFrame:
     """(id, query_id): documents with a span of at most ``distance`` words that holds all words of a query.
 
-    ``queries`` has query_id and text. Sought from each query's rarest word.
+    ``queries`` has an id and text; those without words match nothing. Sought from
+    each query's rarest word: the other words' postings near it are intersected.
     """
-    asked = cut(queries.select("query_id", F.array_distinct(words_of(F.col("text"))).alias("words")).filter(F.size("words") > 0), "queries")
-    terms = asked.select(F.explode("words").alias("term")).distinct()
-    n = terms.count()
-    counts = term_counts(docs, terms, n, text)
-    flat = asked.select("query_id", "words", F.explode("words").alias("term")).join(counts, "term", "left")
-    rarest = flat.groupBy("query_id", "words").agg(F.min(F.struct(F.coalesce("cf", F.lit(0)).alias("cf"), "term")).alias("r")).filter("r.cf > 0").select("query_id", "words", F.col("r.term").alias("term"))
-    index = build_index(docs, rarest.select("term").distinct(), n, distance - 1, id_, text)
-    around = F.concat(F.reverse("before"), F.array("term"), F.col("after"))
-    spans = F.transform(F.sequence(F.lit(0), F.size("before")), lambda s: F.slice(around, s + 1, F.lit(distance)))
-    held = F.exists(spans, lambda s: F.size(F.array_except(F.col("words"), s)) == 0)
-    return index.filter("term <> ''").join(_bounded(rarest, n), "term").filter(held).select("id", "query_id").distinct()
+    index, rows = build_index(docs, id_, text)
+    asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(words_of(F.col(query_text))).alias("words")).filter(F.size("words") > 0)
+    asked = cut(asked.withColumn("q", F.monotonically_increasing_id()), "queries")
+    flat = cut(asked.select("q", F.size("words").alias("n"), F.explode("words").alias("term")), "terms")
+    counted = flat.join(term_counts(index, cut(flat.select("term").distinct(), "terms")), "term", "left")
+    best = counted.groupBy("q", "n").agg(F.min(F.struct(F.coalesce("cf", F.lit(0)).alias("cf"), "term")).alias("r")).filter("r.cf > 0")
+    rarest = cut(best.select("q", "n", F.col("r.term").alias("term")), "rarest")
+    start = cut(index.join(_bounded(rarest), "term").select("row", "q", "n", F.col("pos").alias("at")), "starts")
+    others = index.join(_bounded(flat.select("q", "term").transform(lambda x: cut(x, "pairs"))), "term").join(_bounded(cut(start.select("row", "q").distinct(), "met")), ["row", "q"], "left_semi")
+    near = start.join(others, ["row", "q"]).filter(F.abs(F.col("pos") - F.col("at")) < distance)
+    held = near.groupBy("row", "q", "n", "at").agg(F.collect_list(F.struct("pos", "term")).alias("found")).filter(F.size(F.array_distinct("found.term")) == F.col("n"))
+    spans = F.exists("found", lambda s: (s["pos"] <= F.col("at")) & (F.size(F.array_distinct(F.transform(F.filter("found", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + distance)), lambda x: x["term"]))) == F.col("n")))
+    found = held.filter(spans).select("row", "q").distinct()
+    return found.join(rows, "row").join(asked.select("q", "query_id"), "q").select(F.col("id").alias(id_), "query_id")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row a document: id, n_words, n_hit, spans (hit runs), items (sorted ids, as strings, of items with an occurring window)."""
+    """One row a document: id, n_words, n_hit, spans (hit windows), items (sorted ids, as strings, of items with an occurring window)."""
+    index, rows = build_index(docs, id_, text)
     items = cut(benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("words")).filter(F.size("words") > 0).withColumn("item", F.monotonically_increasing_id()), "items")
     terms = cut(items.select(F.explode("words").alias("term")).distinct(), "terms")
-    anchors = cut(anchors_of(items, term_counts(docs, terms, terms.count(), text), window), "anchors")
-    rare = anchors.select("term").distinct()
-    index = cut(build_index(docs, rare, rare.count(), window - 1, id_, text), "index")
-    matches = phrase_matches(index.filter("term <> ''"), anchors, anchors.count())
-    found = matches.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    rows = index.filter("term = ''").select("row", F.col("id").alias(id_), F.col("pos").cast("bigint").alias("n_words"))
-    out = rows.join(found, "row", "left")
+    pairs = cut(rarest_pairs(items, term_counts(index, terms), window), "pairs")
+    matches = cut(phrase_matches(index, items, pairs, window), "matches")
+    named = matches.join(_bounded(cut(items.select("item", F.col("item_id").cast("string").alias("item_id")), "names")), "item")
+    found = named.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     none = F.array().cast("array<string>")
-    return out.select(id_, "n_words", _covered("spans").alias("n_hit"), F.size(F.coalesce("items", none)).cast("bigint").alias("n_items"), F.coalesce("items", none).alias("items"), "spans")
+    out = rows.join(found, "row", "left")
+    return out.select(F.col("id").alias(id_), "n_words", _covered("spans").alias("n_hit"), F.size(F.coalesce("items", none)).cast("bigint").alias("n_items"), F.coalesce("items", none).alias("items"), "spans")
 
 
 def _covered(spans: str) -> Column:
