@@ -3,10 +3,10 @@
 A revisit record says that a server answered 304: its content is that of the
 latest earlier full response of the same canonical URL. That is an as-of join.
 It is done without a window over a whole URL, since one URL may have a third of
-all records: time is cut into buckets; within a bucket the latest response is
-carried forward over the records of (URL, bucket), and across buckets over one
-row a bucket. What is carried is the response's key and small headers; bodies
-are never shuffled.
+all records: records are sorted by (URL, date, id) into buckets of equal size, so
+that a URL takes as many buckets as its records fill, whatever their dates;
+within a bucket the latest response is carried forward over the records of (URL,
+bucket), and across buckets over one row a bucket.
 
 A match is checked: an ETag that both give must agree (weakly); else a
 Last-Modified that both give; else the match is unvalidated. A 304 may update
@@ -14,8 +14,8 @@ only the headers that HTTP permits in it; they are merged over the response's.
 
 Defined results: a record without a date, or whose URL is null, has no match and
 is no match; of responses with one date the one with the larger id is later, and
-a revisit sees those of its own date with smaller ids; repeated rows are
-resolved each on its own; an empty table gives an empty result; extra columns
+a revisit sees those of its own date with smaller ids (null ids come first);
+repeated rows are resolved each on its own; an empty table gives an empty result; extra columns
 pass through unless named like an output.
 """
 
@@ -24,12 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Header fields that a 304 response may update.
 PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 #: Query parameters that name a visit, not a page.
 TRACKING = "^(?:utm_[^=]*|ref|fbclid|gclid|sessionid|sid)(?:=|$)"
-#: Records of one URL carried together, in seconds of archive time.
-BUCKET_SECONDS = 6 * 3600
+#: Records in a bucket, about.
+BUCKET_ROWS = 50_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -50,7 +52,7 @@ def _strong(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, id_: str = "record_id", url: str = "url", at: str = "at", full: str = "is_full", headers: str = "headers") -> DataFrame:
+def resolve_revisits(records: DataFrame, id_: str = "record_id", url: str = "url", at: str = "at", full: str = "is_full", headers: str = "headers", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``records`` with canonical_url, match_id, match_at, validation and merged_headers.
 
     ``at`` is the record's time as a timestamp, ``is_full`` whether it has a
@@ -62,17 +64,18 @@ def resolve_revisits(records: DataFrame, id_: str = "record_id", url: str = "url
     out = ["canonical_url", "match_id", "match_at", "validation", "merged_headers"]
     rows = records.select(*[c for c in records.columns if c not in out]).withColumn("canonical_url", canonical_url(F.col(url)))
     rows = rows.withColumn("_full", F.coalesce(F.col(full), F.lit(False)) & F.col("canonical_url").isNotNull() & F.col(at).isNotNull())
-    rows = rows.withColumn("_bucket", F.when(F.col("canonical_url").isNotNull(), F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (BUCKET_SECONDS * 1_000_000))))
-    # records without a URL or date meet nothing; they are spread out
-    rows = rows.withColumn("_bucket", F.coalesce("_bucket", F.pmod(F.xxhash64(id_), F.lit(1 << 20))))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(max(least, rows.count() // bucket_rows + 1), "canonical_url", F.col(at), F.col(id_), "_row")
+    rows = cut(rows.withColumn("_bucket", F.spark_partition_id()), "records")
     response = F.struct(F.col(at).alias("at"), F.col(id_).alias("id"), F.col(headers).alias("headers"))
-    latest = rows.filter("_full").groupBy("canonical_url", "_bucket").agg(F.max_by(response, F.struct(F.col(at), F.col(id_))).alias("_last"))
+    latest = rows.filter("_full").groupBy("canonical_url", "_bucket").agg(F.max_by(response, F.struct(F.col(at), F.col(id_), F.col("_row"))).alias("_last"))
     over_buckets = Window.partitionBy("canonical_url").orderBy("_bucket")
     needed = rows.select("canonical_url", "_bucket").distinct()
     marks = needed.withColumn("_new", F.lit(None).cast(latest.schema["_last"].dataType)).unionByName(latest.select("canonical_url", "_bucket", F.col("_last").alias("_new")))
     per_bucket = marks.groupBy("canonical_url", "_bucket").agg(F.first("_new", ignorenulls=True).alias("_new"))
     carried = per_bucket.withColumn("_before", F.last("_new", ignorenulls=True).over(over_buckets.rowsBetween(Window.unboundedPreceding, -1))).filter("_before is not null").select("canonical_url", "_bucket", "_before")
-    within = Window.partitionBy("canonical_url", "_bucket").orderBy(F.col(at), F.col(id_)).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("canonical_url", "_bucket").orderBy(F.col(at), F.col(id_), "_row").rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.withColumn("_own", F.last(F.when(F.col("_full"), response), ignorenulls=True).over(within)).join(carried, ["canonical_url", "_bucket"], "left")
     found = F.when(~F.col("_full") & F.col("canonical_url").isNotNull() & F.col(at).isNotNull(), F.coalesce("_own", "_before"))
     joined = joined.withColumn("_found", found)
@@ -88,7 +91,7 @@ def resolve_revisits(records: DataFrame, id_: str = "record_id", url: str = "url
     updates = F.map_filter(F.coalesce(mine, none), lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
     merged = F.map_concat(F.map_filter(F.coalesce(theirs, none), lambda k, v: ~F.array_contains(F.map_keys(updates), k)), updates)
     return joined.select(
-        *[c for c in rows.columns if c not in ("_full", "_bucket")],
+        *[c for c in rows.columns if c not in ("_full", "_bucket", "_row")],
         F.when(good, F.col("_found.id")).alias("match_id"), F.when(good, F.col("_found.at")).alias("match_at"), "validation",
         F.when(good, merged).when(F.col("_full"), F.coalesce(mine, none)).alias("merged_headers"),
     )

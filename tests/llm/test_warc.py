@@ -45,6 +45,16 @@ def test_as_of_join_against_brute_force(spark):
         assert got[i]["match_id"] == want, i
 
 
+def test_dense_bursts_and_repeated_rows(spark):
+    """One URL with all records at one date, and repeated rows: buckets of ten records."""
+    rows = [(n, "http://hot/", T0, n % 40 == 7, {}) for n in range(300)] + [(n, "http://hot/", T0 + timedelta(hours=1), False, {}) for n in (500, 500, 500)] + [(7, "http://hot/", T0, True, {})]
+    out = warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA), bucket_rows=10).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        want = [n for n in range(7, 300, 40) if n < r["record_id"]]
+        assert r["match_id"] == (None if r["is_full"] or not want else max(want)), r
+
+
 def test_empty_table_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "http://a/", T0, True, {})], SCHEMA).withColumn("validation", F.lit("old"))
     assert warc.resolve_revisits(df).first()["validation"] == "full" and warc.resolve_revisits(df.limit(0)).count() == 0
