@@ -49,4 +49,6 @@ def with_entry(map_: Column, key: str, value: Column) -> Column:
 
 def number_or(json: Column, key: str, default: float) -> Column:
     """A number in a JSON object; the default if it is missing, no number, or the text no JSON."""
-    return F.coalesce(F.try_variant_get(F.try_parse_json(json), f"$.{key}", "double"), F.lit(default))
+    value = F.try_variant_get(F.try_parse_json(json), f"$.{key}", "variant")
+    number = F.when(F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(value, "$", "double"))
+    return F.coalesce(number, F.lit(default))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settings
@@ -38,6 +38,18 @@ def page_envelope(runs: DataFrame, page: int = 1, size: int | None = None) -> Pa
     return Page(items, runs.count(), page, settings().page_size if size is None else size)
 
 
+def page_after(runs: DataFrame, last: tuple | None = None, size: int | None = None) -> DataFrame:
+    """The page after the row (started_at, id), None for the first: its cost doesn't grow with the page's number, as ``page_of``'s does."""
+    size = settings().page_size if size is None else size
+    if not 1 <= size <= settings().max_page_size:
+        raise ValueError(f"size must be from 1 to {settings().max_page_size}")
+    if last is not None:
+        at, key = last
+        same_or_null = F.col("started_at").isNull() & (F.col("id") > key) if at is None else F.col("started_at").isNull() | (F.col("started_at") < F.lit(at)) | ((F.col("started_at") == F.lit(at)) & (F.col("id") > key))
+        runs = runs.filter(same_or_null)
+    return runs.orderBy(*newest_first()).limit(size)
+
+
 def by_id(df: DataFrame, key, column: str = "id") -> DataFrame:
     """The row of a key; the equality reaches the scan."""
     return df.filter(F.col(column) == key).limit(1)
@@ -83,8 +95,3 @@ def runs_without_repository(runs: DataFrame, repos: DataFrame) -> DataFrame:
 
 def repositories_without_success(repos: DataFrame, runs: DataFrame) -> DataFrame:
     return repos.join(runs.filter("status = 'success'").select(F.col("repo_id").alias("id")), "id", "left_anti")
-
-
-def latest_by_window(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The first row of each key in an order; for tables whose keys have few rows."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")

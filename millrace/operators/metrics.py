@@ -14,6 +14,12 @@ def long_metrics(rows: DataFrame, run: str, json: str) -> DataFrame:
     return items.filter(numeric).select("run", F.col("e.key").alias("key"), F.expr("cast(e.value as double)").alias("value"))
 
 
+def all_metrics(rows: DataFrame, run: str, json: str) -> DataFrame:
+    """(run, key, value) of all metrics of a JSON column, whatever their type, as variants."""
+    parsed = rows.select(F.col(run).alias("run"), F.try_parse_json(json).alias("v")).filter("v is not null and schema_of_variant(v) like 'OBJECT%'")
+    return parsed.select("run", F.explode(F.map_entries(F.expr("try_cast(v as map<string, variant>)"))).alias("e")).select("run", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
+
+
 def metric_keys(long: DataFrame) -> DataFrame:
     return long.select("key").distinct()
 

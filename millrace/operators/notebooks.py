@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import all_tags, cells_with_tag, missing, output_text, source_text
+from ..functions.crypto import from_base64
 from ..functions.strings import assignment
 from ..schemas import NOTEBOOK, REQUIRED_TAGS
 
@@ -13,9 +14,25 @@ from ..schemas import NOTEBOOK, REQUIRED_TAGS
 LOG_CELLS, LOG_CHARS = 20, 2000
 
 
+def read_notebooks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, raw) of notebook files, a row a file."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+
+
+def decode_contents(rows: DataFrame, column: str = "content") -> DataFrame:
+    """``raw`` from base64 ``column``, as a contents service sends files."""
+    return rows.withColumn("raw", from_base64(F.col(column)))
+
+
 def parse_notebooks(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """``raw`` (JSON text) with ``notebook``."""
-    return raw.withColumn("notebook", F.from_json(column, NOTEBOOK))
+    """``raw`` (JSON text) with ``notebook``, null if the text isn't JSON."""
+    return raw.withColumn("notebook", F.when(F.try_parse_json(column).isNotNull(), F.from_json(column, NOTEBOOK)))
+
+
+def check_notebooks(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """``raw`` with cells, missing, is_valid and error; a text that isn't JSON, or has no cells, lacks them all."""
+    parsed = parse_notebooks(raw, column)
+    return validate(parsed.withColumn("cells", F.col("notebook.cells"))).drop("notebook")
 
 
 def nest_cells(cells: DataFrame) -> DataFrame:

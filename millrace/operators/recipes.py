@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from typing import Protocol
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from ..schemas import DEPLOYMENTS, MODEL_RUNS, PHASE_EVENTS
 from ..session import Settings, settings
 from ..sources import tables
 from . import evaluation, notebooks, registry
+from .runs import run_status, with_deployment
 
 Fit = Callable[[DataFrame, dict], PipelineModel]
 RECIPES: dict[str, Fit] = {}
@@ -40,6 +42,23 @@ def forest(train: DataFrame, params: dict) -> PipelineModel:
     return evaluation.train_forest(train, params.get("vector", "embedding"), params.get("label", "label"), params.get("trees", 100), params.get("depth", 5))
 
 
+class Executor(Protocol):
+    """What runs pipelines: ``Runner`` here; another kind can be registered."""
+
+    def run(self, run: str, notebook: DataFrame, data: DataFrame, params: dict | None = None) -> str: ...
+
+    def get_status(self, run: str) -> str: ...
+
+    def cancel(self, run: str) -> bool: ...
+
+
+def executor(kind: str, spark: SparkSession, root: str) -> Executor:
+    """The executor of a kind: 'local' is ``Runner``; others are not built."""
+    if kind != "local":
+        raise NotImplementedError(f"no executor of kind {kind}")
+    return Runner(spark, root)
+
+
 class Stopped(Exception):
     """A run was asked to stop between two phases."""
 
@@ -53,19 +72,23 @@ class Runner:
     config: Settings = field(default_factory=settings)
     clock: Callable[[], datetime] = lambda: datetime.now(UTC)
     stopping: set[str] = field(default_factory=set)
-    seq: int = 0
+    numbers: dict[str, int] = field(default_factory=dict)
 
     def _emit(self, run: str, phase: str, status: str, logs: str = "") -> None:
-        self.seq += 1
-        row = self.spark.createDataFrame([(run, self.seq, phase, status, logs, self.clock())], PHASE_EVENTS)
-        tables.append(row, f"{self.root}/phase_events")
+        """Appends an entry to the run's own part of the log; numbers go on where an earlier runner left them."""
+        if run not in self.numbers:
+            known = tables.exists(self.spark, f"{self.root}/phase_events/pipeline_id={run}")
+            self.numbers[run] = (self.events(run).agg(F.max("seq")).first()[0] or 0) if known else 0
+        self.numbers[run] += 1
+        row = self.spark.createDataFrame([(run, self.numbers[run], phase, status, logs, self.clock())], PHASE_EVENTS)
+        tables.append(row.coalesce(1), f"{self.root}/phase_events", partition_by=["pipeline_id"])
 
     def events(self, run: str) -> DataFrame:
         return self.spark.read.schema(PHASE_EVENTS).parquet(f"{self.root}/phase_events").filter(F.col("pipeline_id") == run)
 
     def get_status(self, run: str) -> str:
-        from .runs import run_status
-
+        if not tables.exists(self.spark, f"{self.root}/phase_events/pipeline_id={run}"):
+            return "queued"
         found = run_status(self.events(run)).first()
         return found["status"] if found else "queued"
 
@@ -91,11 +114,12 @@ class Runner:
             parsed = self._phase(run, "download", lambda: notebooks.parse_notebooks(notebook).select("notebook.cells"))
             config = self._phase(run, "validate", lambda: self._validated(parsed))
             split = evaluation.stratified_split(data, params.get("id", "vec_id"), params.get("label", "label"))
-            fit = RECIPES.get(config["model_name"], forest)
+            fit = RECIPES[config["model_name"]]
             model = self._phase(run, "execute", lambda: fit(split.filter("not is_test"), params))
             accuracy = self._phase(run, "register", lambda: self._register(run, config, model, split.filter("is_test"), params))
-            if self.config.auto_deploy and accuracy >= self.config.deploy_threshold:
-                self._deploy(run, config, accuracy)
+            gate = self.config.auto_deploy and accuracy >= self.config.deploy_threshold
+            deployed = gate and self._deploy(run, config, accuracy)
+            self._metrics(run, accuracy, deployed, "deployment failed" if gate and not deployed else None)
             self._emit(run, "complete", "success")
             return "success"
         except Stopped:
@@ -110,6 +134,8 @@ class Runner:
         row = notebooks.config_of(notebooks.validate(parsed)).select("error", "model_name", "version").first()
         if row is None or row["error"]:
             raise ValueError(row["error"] if row else "no notebook")
+        if row["model_name"] not in RECIPES:
+            raise ValueError(f"no recipe for model {row['model_name']}")
         return row.asDict()
 
     def _register(self, run: str, config: dict, model: PipelineModel, test: DataFrame, params: dict) -> float:
@@ -118,10 +144,23 @@ class Runner:
         scored = evaluation.predict(model, test, params.get("vector", "embedding"))
         accuracy = evaluation.accuracy(scored, params.get("label", "label"), "prediction").first()[0] or 0.0
         tags = {"pipeline_id": run, "model_name": config["model_name"], "version": config["version"]}
-        tables.append(self.spark.createDataFrame([(run, "default", f"{config['model_name']}-{run[:8]}", tags, {"accuracy": accuracy}, path)], MODEL_RUNS), f"{self.root}/model_runs")
+        logged = {"accuracy": accuracy} | {k: float(v) for k, v in params.items() if isinstance(v, int | float)}
+        tables.append(self.spark.createDataFrame([(run, "default", f"{config['model_name']}-{run[:8]}", tags, logged, path)], MODEL_RUNS), f"{self.root}/model_runs")
         return accuracy
 
-    def _deploy(self, run: str, config: dict, accuracy: float) -> None:
+    def _metrics(self, run: str, accuracy: float, deployed: bool, failure: str | None) -> None:
+        """The run's metrics: accuracy, whether its model was deployed, and else why not."""
+        row = self.spark.createDataFrame([(run, accuracy)], "id string, accuracy double")
+        row = with_deployment(row, "accuracy", self.config.auto_deploy, self.config.deploy_threshold).select("id", "metrics")
+        if failure:
+            held = F.from_json("metrics", "map<string,string>")
+            row = row.withColumn("metrics", F.to_json(F.struct(F.lit(accuracy).alias("accuracy"), F.lit(deployed).alias("deployed"), F.coalesce(F.try_element_at(held, F.lit("skip_reason")), F.lit(failure)).alias("skip_reason"))))
+        tables.append(row, f"{self.root}/run_metrics")
+
+    def metrics(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/run_metrics")
+
+    def _deploy(self, run: str, config: dict, accuracy: float) -> bool:
         """Activates the version; if that fails the run still succeeds, undeployed."""
         self._emit(run, "deploy", "running")
         try:
@@ -132,8 +171,10 @@ class Runner:
             new = self.spark.createDataFrame([(number, name, config["version"], accuracy, f"{self.config.endpoint}/predict/{name}", self.clock(), True, run)], DEPLOYMENTS)
             tables.write_version(registry.activate(old, new), path)
             self._emit(run, "deploy", "success")
+            return True
         except Exception as e:  # noqa: BLE001 - see above
             self._emit(run, "deploy", "failed", str(e)[:2000])
+            return False
 
     def load(self, model_name: str) -> PipelineModel:
         """The active model of a name."""

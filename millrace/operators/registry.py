@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def activate(deployments: DataFrame, new: DataFrame) -> DataFrame:
-    """``new`` deployments (one a model) become the active ones of their models."""
-    named = new.select("model_name", F.lit(True).alias("_replaced"))
+    """``new`` deployments become the active ones of their models; of several of one model the newest id."""
+    named = new.select("model_name", F.lit(True).alias("_replaced")).distinct()
+    newest = new.groupBy("model_name").agg(F.max("id").alias("_newest"))
     kept = deployments.join(named, "model_name", "left").withColumn("is_active", F.col("is_active") & F.col("_replaced").isNull()).select(*deployments.columns)
-    return kept.unionByName(new.withColumn("is_active", F.lit(True)).select(*deployments.columns))
+    live = new.join(newest, "model_name").withColumn("is_active", F.col("id") == F.col("_newest"))
+    return kept.unionByName(live.select(*deployments.columns))
 
 
 def rollback(deployments: DataFrame, targets: DataFrame) -> DataFrame:

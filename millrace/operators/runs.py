@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.display import passes_gate, skip_reason
 from ..schemas import TERMINAL_PHASES
 from ..session import settings
 
@@ -15,6 +16,20 @@ def fold_updates(updates: DataFrame, key: str, order: str, columns: list[str]) -
     return updates.groupBy(key).agg(*last)
 
 
+def deployed(runs: DataFrame, metrics: str = "metrics") -> DataFrame:
+    """Successful runs whose JSON ``metrics`` say that their model was deployed."""
+    said = F.try_variant_get(F.try_parse_json(metrics), "$.deployed", "variant")
+    yes = F.when(F.schema_of_variant(said) == "BOOLEAN", F.try_variant_get(said, "$", "boolean"))
+    return runs.filter((F.col("status") == "success") & F.coalesce(yes, F.lit(False)))
+
+
+def with_deployment(runs: DataFrame, accuracy: str, auto_deploy: bool, threshold: float) -> DataFrame:
+    """``runs`` with ``metrics`` (JSON, nulls written): the accuracy, whether it was deployed and else why not."""
+    gate = passes_gate(F.col(accuracy), auto_deploy, threshold)
+    held = F.struct(F.col(accuracy).alias("accuracy"), gate.alias("deployed"), skip_reason(F.col(accuracy), auto_deploy, threshold).alias("skip_reason"))
+    return runs.withColumn("metrics", F.to_json(held, {"ignoreNullFields": "false"}))
+
+
 def phase_list(events: DataFrame) -> DataFrame:
     """A run's phases in order, as an array."""
     one = F.struct("seq", "phase", "status", "ts")

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .api import Api
 from .functions import arrays, crypto, display, strings, times
-from .operators import catalog, evaluation, metrics, notebooks, registry, runs, webhook
+from .operators import bodies, catalog, evaluation, metrics, notebooks, registry, runs, serving, webhook
 from .plans import dashboard
 from .schemas import REQUIRED_TAGS
-from .session import settings
+from .session import Settings, settings
 from .sources import fixtures as fx
+from .sources import tables
 from .streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +31,14 @@ _VIEWS = {
       p_partkey = max(p_partkey) over (partition by p_brand) as is_active from part""",
     "cells": """select conv_id as notebook_id, turn as cell, case when role = 'user' then 'code' else 'markdown' end as cell_type,
       case turn % 5 when 0 then 'mlops:config' when 1 then 'mlops:preprocessing' when 2 then 'mlops:training' when 3 then 'mlops:export' end as tag, text as source from conversations""",
+    "run_metrics": """select cast(o_orderkey as varchar) as id, case o_orderstatus when 'F' then 'success' when 'O' then 'running' else 'queued' end as status,
+      case o_orderkey % 8 when 0 then '{"accuracy": 0.' when 1 then '{"accuracy": 0.' || lpad(cast(o_orderkey * 37 % 100000 as varchar), 5, '0') || ', "deployed": true}'
+        when 2 then '{"accuracy": 0.' || lpad(cast(o_orderkey * 41 % 100000 as varchar), 5, '0') || ', "deployed": false, "skip_reason": "below"}'
+        when 3 then '{"loss": 0.' || lpad(cast(o_orderkey * 43 % 100000 as varchar), 5, '0') || ', "note": "text", "trees": 100}' when 4 then '[1, 2]'
+        when 5 then '{"accuracy": "0.5", "deployed": "yes"}' when 6 then '{"accuracy": null, "f1": 0.25}'
+        else '{"accuracy": 0.' || lpad(cast(o_orderkey * 47 % 100000 as varchar), 5, '0') || ', "loss": 0.' || lpad(cast(o_orderkey * 53 % 100000 as varchar), 5, '0') || ', "extra": {"a":1}}' end as metrics from orders""",
+    "metric": """select id as run, k as key, json_type(metrics, '$.' || k) as kind, json_extract_string(metrics, '$.' || k) as text
+      from (select id, metrics, unnest(json_keys(metrics)) as k from run_metrics where json_valid(metrics) and json_type(metrics) = 'OBJECT')""",
 }
 
 
@@ -228,7 +238,8 @@ def hmac_signature(spark, d):
 
 @query("select doc_id, md5(text) as digest from documents")
 def base64_decode(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", F.md5(crypto.from_base64(F.base64(F.encode("text", "UTF-8")))).alias("digest"))
+    wrapped = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "(.{60})", "$1\r\n*")  # lines and a character that base64 hasn't
+    return fx.table(spark, d, "documents").select("doc_id", F.md5(crypto.from_base64(wrapped)).alias("digest"))
 
 
 @query(f"select seq, {_DURATION.format(s='ts', e="timestamp '2024-06-01 00:00:00'")} as duration from phase_events", "phase_events")
@@ -260,10 +271,15 @@ def deploy_reason(spark, d):
     return fx.deployments(spark, d).select("id", display.passes_gate(a, True, 0.7).alias("deployed"), display.skip_reason(a, True, 0.7).alias("reason"))
 
 
-@query("select pipeline_id, case when bool_and(status = 'success') then 'ok' else 'degraded' end as health, case when count(*) > 0 then 'ok' else 'no_models' end as models from phase_events group by pipeline_id", "phase_events")
+@query("select pipeline_id, case when bool_and(status = 'success') then 'ok' else 'degraded' end as health, case when sum((phase = 'signup')::int) > 0 then 'ok' else 'no_models' end as models from phase_events group by pipeline_id", "phase_events")
 def readiness(spark, d):
     e = fx.phase_events(spark, d)
-    return e.groupBy("pipeline_id").agg(display.readiness(F.bool_and(F.col("status") == "success")).alias("health"), display.readiness(F.count(F.lit(1)) > 0, bad="no_models").alias("models"))
+    return e.groupBy("pipeline_id").agg(display.readiness(F.bool_and(F.col("status") == "success")).alias("health"), display.readiness(F.count_if(F.col("phase") == "signup") > 0, bad="no_models").alias("models"))
+
+
+@query("select event_type as service, case when bool_and(coalesce(value >= 1, false)) then 'ok' else 'degraded' end as status from events group by event_type")
+def health_rows(spark, d):
+    return display.health_rows(fx.table(spark, d, "events").select(F.col("event_type").alias("service"), (F.col("value") >= 1).alias("ok")))
 
 
 @query("select id, model_name, 'v' || version as version_text, round(accuracy * 100, 1) as accuracy_percent, is_active from deployments", "deployments")
@@ -321,6 +337,50 @@ def _nested_outputs(cells: DataFrame) -> DataFrame:
     return grouped.select("notebook_id", F.transform(F.sequence(F.lit(0).cast("bigint"), "last"), lambda i: F.try_element_at("by", i)).alias("cells"))
 
 
+_BROKEN = "notebook_id % 13 in (5, 6)"
+_LACKS = "with t as (select notebook_id, list_distinct(list(tag)) as tags from cells group by notebook_id), v as (select notebook_id, " + "nullif(concat_ws(', ', " + ", ".join(f"case when {_BROKEN} or not list_contains(tags, '{t}') then '{t}' end" for t in REQUIRED_TAGS) + "), '') as missing from t)"
+
+
+@query(_LACKS + " select notebook_id, missing is null as is_valid, 'Missing required tags: ' || missing as error from v", "cells")
+def notebook_validation(spark, d):
+    """Notebook JSON, some of it broken or without cells."""
+    return notebooks.check_notebooks(fx.raw_notebooks(spark, d)).select("notebook_id", "is_valid", "error")
+
+
+@query(
+    f"""with s as (select notebook_id, arg_min('MODEL_NAME = "m-' || notebook_id || '"' || chr(10) || source, cell) filter (where tag = 'mlops:config' and not ({_BROKEN})) as src from cells group by notebook_id)
+    select notebook_id, md5(src) as source_md5, case when src is not null then coalesce(nullif(regexp_extract(src, 'MODEL_NAME\\s*=\\s*[''"]([^''"]+)[''"]', 1), ''), 'default-model') end as model_name,
+    case when src is not null then coalesce(nullif(regexp_extract(src, 'VERSION\\s*=\\s*[''"]([^''"]+)[''"]', 1), ''), '1') end as version from s""",
+    "cells",
+)
+def notebook_config(spark, d):
+    """The configuration in notebook JSON, whose sources are strings or lists of lines."""
+    n = notebooks.config_of(notebooks.check_notebooks(fx.raw_notebooks(spark, d)))
+    first = F.get(arrays.cells_with_tag(F.col("cells"), "mlops:config"), F.lit(0))
+    return n.select("notebook_id", F.md5(arrays.source_text(first["source"])).alias("source_md5"), "model_name", "version")
+
+
+@query(
+    f"""with i as (select *, row_number() over (partition by notebook_id order by cell) - 1 as place from cells where not ({_BROKEN})),
+    o as (select notebook_id, place, substring(source, 1, 2000) as output, row_number() over (partition by notebook_id order by place) as k from i where cell_type = 'code' and source <> '')
+    select notebook_id, count(*) as n_logs, sum(place)::bigint as cells_sum, md5(string_agg(output, '|' order by place)) as digest from o where k <= 20 group by notebook_id""",
+    "cells",
+)
+def notebook_outputs(spark, d):
+    """The logs of code cells in notebook JSON: stream text or plain-text data."""
+    logs_ = notebooks.cell_logs(notebooks.check_notebooks(fx.raw_notebooks(spark, d))).filter(F.size("logs") > 0)
+    return logs_.select("notebook_id", F.size("logs").cast("bigint").alias("n_logs"), F.aggregate("logs", F.lit(0).cast("bigint"), lambda s, x: s + x["cell"]).alias("cells_sum"), F.md5(F.array_join(F.col("logs.output"), "|")).alias("digest"))
+
+
+@query(_LACKS + " select notebook_id, missing is null as is_valid from v", "cells")
+def notebook_files(spark, d):
+    """Notebooks read from files, sent as base64."""
+    at = logs.state_dir(spark)
+    fx.raw_notebooks(spark, d).select("notebook_id", F.base64(F.encode("raw", "UTF-8")).alias("content")).write.partitionBy("notebook_id").text(f"{at}/files")
+    files = notebooks.read_notebooks(spark, f"{at}/files/*/*").withColumn("notebook_id", F.regexp_extract("path", "notebook_id=([0-9]+)", 1).cast("bigint"))
+    return notebooks.check_notebooks(notebooks.decode_contents(files, "raw")).select("notebook_id", "is_valid")
+
+
 # Runs
 
 
@@ -388,20 +448,46 @@ def log_until_terminal(spark, d):
 # Metrics
 
 
-@query("select distinct 'k' as key from events where json_extract_string(props, '$.k') is not null")
+_NUMBER = "kind in ('DOUBLE', 'UBIGINT', 'BIGINT', 'HUGEINT')"
+
+
+@query(f"select distinct key from metric where {_NUMBER}", "run_metrics", "metric")
 def metric_keys(spark, d):
-    return metrics.metric_keys(metrics.long_metrics(fx.table(spark, d, "events"), "event_id", "props"))
+    return metrics.metric_keys(metrics.long_metrics(fx.run_metrics(spark, d), "id", "metrics"))
 
 
-@query("select event_id, coalesce(cast(json_extract_string(props, '$.accuracy') as double), 0.0) as accuracy, coalesce(cast(json_extract_string(props, '$.k') as double), 0.0) as k from events")
+@query(f"select id, coalesce(max(case when key = 'accuracy' and {_NUMBER} then cast(text as double) end), 0.0) as accuracy from run_metrics left join metric on run = id group by id", "run_metrics", "metric")
 def metric_value_default(spark, d):
-    e = fx.table(spark, d, "events")
-    return e.select("event_id", arrays.number_or(F.col("props"), "accuracy", 0.0).alias("accuracy"), arrays.number_or(F.col("props"), "k", 0.0).alias("k"))
+    return fx.run_metrics(spark, d).select("id", arrays.number_or(F.col("metrics"), "accuracy", 0.0).alias("accuracy"))
 
 
-@query("select event_id as run, cast(json_extract_string(props, '$.k') as double) as k, cast(null as double) as accuracy from events where json_extract_string(props, '$.k') is not null")
+@query(f"""select run, max(case when key = 'accuracy' then cast(text as double) end) as accuracy, max(case when key = 'loss' then cast(text as double) end) as loss, max(case when key = 'f1' then cast(text as double) end) as f1
+  from metric where {_NUMBER} group by run""", "run_metrics", "metric")
 def metric_pivot(spark, d):
-    return metrics.pivot_metrics(metrics.long_metrics(fx.table(spark, d, "events"), "event_id", "props"), ["k", "accuracy"])
+    return metrics.pivot_metrics(metrics.long_metrics(fx.run_metrics(spark, d), "id", "metrics"), ["accuracy", "loss", "f1"])
+
+
+@query(f"""select run, key, case when {_NUMBER} then printf('%.4f', cast(text as double) + case when cast(text as double) * 32 = floor(cast(text as double) * 32) then 1e-9 else 0 end)
+  when kind = 'NULL' then null else text end as shown from metric""", "run_metrics", "metric")
+def metric_text(spark, d):
+    return metrics.all_metrics(fx.run_metrics(spark, d), "id", "metrics").select("run", "key", display.value_text(F.col("value")).alias("shown"))
+
+
+@query("select id from run_metrics where status = 'success' and id in (select run from metric where key = 'deployed' and kind = 'BOOLEAN' and text = 'true')", "run_metrics", "metric")
+def deployed_runs(spark, d):
+    return runs.deployed(fx.run_metrics(spark, d)).select("id")
+
+
+@query("""select id, '{"accuracy":' || accuracy || ',"deployed":' || (accuracy >= 0.7) || ',"skip_reason":' || case when accuracy < 0.7 then '"accuracy below threshold 0.70"' else 'null' end || '}' as metrics from deployments""", "deployments")
+def metrics_json(spark, d):
+    return runs.with_deployment(fx.deployments(spark, d), "accuracy", True, 0.7).select("id", "metrics")
+
+
+@query("select id, cast(2 as bigint) as n, accuracy, 1.0 as deployed from deployments", "deployments")
+def metrics_with_entry(spark, d):
+    held = F.create_map(F.lit("accuracy"), F.col("accuracy"), F.lit("deployed"), F.lit(0.0))
+    out = fx.deployments(spark, d).select("id", arrays.with_entry(held, "deployed", F.lit(1.0)).alias("m"))
+    return out.select("id", F.size("m").cast("bigint").alias("n"), F.element_at("m", "accuracy").alias("accuracy"), F.element_at("m", "deployed").cast("decimal(2,1)").alias("deployed"))
 
 
 @query("""select substring(r.id, 1, 6) as label, 'k' as key, cast(json_extract_string(props, '$.k') as double) as value
@@ -453,6 +539,30 @@ def request_counts(spark, d):
     return registry.request_counts(e.select(F.col("event_type").alias("model_name"), (F.col("value") >= 20).alias("ok")))
 
 
+@query("""with new as (select id + 1000000 as id, model_name from deployments where id % 3 = 0), top as (select model_name, max(id) as id from new group by model_name)
+  select id, model_name, is_active and model_name not in (select model_name from new) as is_active from deployments
+  union all select id, model_name, id in (select id from top) as is_active from new""", "deployments")
+def activate_many(spark, d):
+    """Several new deployments of one model: the newest is active, and old rows come once."""
+    dep = fx.deployments(spark, d).select("id", "model_name", "is_active")
+    return registry.activate(dep, dep.filter("id % 3 = 0").withColumn("id", F.col("id") + 1_000_000))
+
+
+@query("select p_partkey as id, md5(cast(p_partkey // 2 as varchar)) as run_id from part where p_partkey % 2 = 0 and p_partkey // 2 in (select p_partkey from part) union all select p_partkey, null from part where not (p_partkey % 2 = 0 and p_partkey // 2 in (select p_partkey from part))")
+def deployment_runs(spark, d):
+    dep = fx.deployments(spark, d).withColumn("pipeline_id", F.col("id").cast("string"))
+    return registry.with_run(dep, fx.model_runs(spark, d)).select("id", "run_id")
+
+
+@query("""with s as (select event_id as seq, case event_type when 'signup' then 'load' when 'error' then 'unload' else 'predict' end as action, 'm-' || (user_id % 40) as model_name,
+    cast(event_id % 9 as varchar) as version, value >= 20 as ok, ts from events),
+  l as (select model_name, arg_max(action, seq) as action, arg_max(version, seq) as version, arg_max(ts, seq) as ts, max(seq) as since from s where action <> 'predict' group by model_name)
+  select l.model_name, l.version, strftime(l.ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' as loaded_at, (select count(*) from s where s.model_name = l.model_name and action = 'predict' and ok and seq > since) as request_count
+  from l where action = 'load'""")
+def loaded_models(spark, d):
+    return serving.loaded_models(fx.serving_events(spark, d))
+
+
 @query("select id, model_name, accuracy >= 0.7 as deployed from deployments", "deployments")
 def deploy_gate(spark, d):
     s = settings()
@@ -522,6 +632,106 @@ def batch_predict(spark, d):
     return evaluation.predict(model, rows, "embedding").select("vec_id", F.col("prediction").cast("int").alias("prediction"))
 
 
+# The platform's reads and writes
+
+
+def _api(spark, d) -> Api:
+    return Api(fx.repositories(spark, d), fx.runs(spark, d), fx.phase_events(spark, d), fx.deployments(spark, d))
+
+
+@query("""with n as (select id, status, row_number() over (order by started_at desc nulls last, id) - 1 as k, count(*) over () as total from runs)
+  select cast(k - 40 as integer) as pos, id, status, total, 3 as page, 20 as size, (total + 19) // 20 as pages from n where k >= 40 and k < 60""", "runs")
+def api_page(spark, d):
+    e = _api(spark, d).page(3, 20)
+    return e.select(F.posexplode("items").alias("pos", "item"), "total", "page", "size", "pages").select("pos", "item.id", "item.status", "total", "page", "size", "pages")
+
+
+@query("select id from (select id, row_number() over (order by started_at desc nulls last, id) as k from runs) where k > 20 and k <= 40", "runs")
+def page_keyset(spark, d):
+    last = catalog.page_of(fx.runs(spark, d), 1, 20).collect()[-1]
+    return catalog.page_after(fx.runs(spark, d), (last["started_at"], last["id"]), 20).select("id")
+
+
+@query("""select r.id, r.status, r.commit_sha, coalesce(n, -1) as n_phases, digest from (select * from runs where id = '7') r left join
+  (select cast(pipeline_id as varchar) as id, count(*) as n, md5(string_agg(seq || phase || status, ',' order by seq)) as digest from phase_events group by pipeline_id) p on p.id = r.id""", "runs", "phase_events")
+def api_run(spark, d):
+    text = F.array_join(F.transform("phases", lambda x: F.concat(x["seq"].cast("string"), x["phase"], x["status"])), ",")
+    return _api(spark, d).run("7").select("id", "status", "commit_sha", F.coalesce(F.size("phases"), F.lit(-1)).cast("bigint").alias("n_phases"), F.md5(text).alias("digest"))
+
+
+@query("select seq, phase, status from phase_events where pipeline_id = 7 and seq <= coalesce((select min(seq) from phase_events where pipeline_id = 7 and phase = 'error'), 1000000000)", "phase_events")
+def api_logs(spark, d):
+    return _api(spark, d).logs("7").select("seq", "phase", "status")
+
+
+@query("select id, model_name, version from deployments where is_active", "deployments")
+def api_models(spark, d):
+    return _api(spark, d).models().select("id", "model_name", "version")
+
+
+@query("""with t as (select min(id) as target from deployments where model_name = 'Brand#11' and version = (select min(version) from deployments where model_name = 'Brand#11'))
+  select id, model_name, version, case when model_name = 'Brand#11' then id = target else is_active end as is_active from deployments, t""", "deployments")
+def api_rollback(spark, d):
+    api = _api(spark, d)
+    version = api.deployments.filter("model_name = 'Brand#11'").agg(F.min("version")).first()[0]
+    return api.rollback("Brand#11", f'{{"version": "{version}"}}').select("id", "model_name", "version", "is_active")
+
+
+@query("select id, github_url from repos where is_active order by id limit 1", "repos")
+def first_repository(spark, d):
+    return catalog.first_row(_api(spark, d).list_repositories()).select("id", "github_url")
+
+
+@query("select * from (values ('auto_deploy', 'True'), ('default_branch', 'main'), ('default_token', ''), ('deploy_threshold', '0.7'), ('endpoint', 'http://model-server:8001'), ('log_buffer', '1000'), ('log_ttl_hours', '24'), ('max_page_size', '100'), ('notebook_path', 'notebooks/train.ipynb'), ('page_size', '20'), ('webhook_secret', 'test-secret')) t(name, value)")
+def settings_scan(spark, d):
+    return spark.createDataFrame([(k, str(v)) for k, v in vars(Settings()).items()], "name string, value string")
+
+
+@query("""select event_id, [null, 'branch: not a valid string', 'github_url: field required', 'github_url: field required', 'body is not an object', 'body is not JSON', 'github_url: not a valid string', null][event_id % 8 + 1] as error from events""")
+def body_validation(spark, d):
+    return bodies.validated(fx.request_bodies(spark, d), "body", "repository").select("event_id", "error")
+
+
+@query("select event_id from events where event_id % 8 in (0, 7)")
+def accepted_bodies(spark, d):
+    return bodies.accepted(bodies.validated(fx.request_bodies(spark, d), "body", "repository")).select("event_id")
+
+
+@query("select case when event_id % 7 = 0 then null else cast(json_extract_string(props, '$.k') as bigint) end as k, count(*) as n from events group by 1")
+def tolerant_log(spark, d):
+    """Entries of a JSON log by value; broken lines are kept apart and counted under null."""
+    lines = fx.table(spark, d, "events").select(F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("value"))
+    good, bad = tables.tolerant(lines, "k bigint")
+    return good.groupBy("k").agg(F.count(F.lit(1)).alias("n")).unionByName(bad.agg(F.lit(None).cast("bigint").alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 0"))
+
+
+@query("select id, github_url from repos union all select (select max(id) from repos) + 1, 'https://github.com/new/repo'", "repos")
+def add_repository(spark, d):
+    new = spark.createDataFrame([("https://github.com/new/repo",)], "github_url string")
+    return tables.register(fx.repositories(spark, d).select("id", "github_url"), new)
+
+
+@query("select id, github_url from repos where id % 5 <> 0", "repos")
+def delete_repositories(spark, d):
+    """A versioned table after a delete, read back."""
+    at, repos = logs.state_dir(spark), fx.repositories(spark, d).select("id", "github_url")
+    tables.write_version(repos, at)
+    tables.write_version(tables.delete_keys(tables.read_version(spark, at), repos.filter("id % 5 = 0"), "id"), at)
+    return tables.read_version(spark, at)
+
+
+@query("select id, case when id % 4 = 0 then 'loaded again' else version end as version from deployments union all select -1, 'new'", "deployments")
+def upsert_models(spark, d):
+    held = fx.deployments(spark, d).select("id", "version")
+    changes = held.filter("id % 4 = 0").select("id", F.lit("loaded again").alias("version")).unionByName(spark.createDataFrame([(-1, "new")], held.schema))
+    return tables.upsert(held, changes, "id")
+
+
+@query("select seq, strftime(ts, '%-I:%M:%S %p') as clock from phase_events", "phase_events")
+def clock_text(spark, d):
+    return fx.phase_events(spark, d).select("seq", times.clock_text(F.col("ts")).alias("clock"))
+
+
 # Streams, over the same files as the batch queries
 
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -535,11 +745,10 @@ def _phase_stream(spark, d, at: str) -> DataFrame:
 
 @query(SQL["webhook_outcome"])
 def stream_ingest(spark, d):
-    """The gates over a stream of push files."""
+    """The gates over a stream of signed JSON bodies."""
     secret, at = settings().webhook_secret, logs.state_dir(spark)
-    fx.push_events(spark, d, secret).write.parquet(f"{at}/in")
-    pushes = logs.stream_files(spark, f"{at}/in", "event_id bigint, event_type string, body string, signature string")
-    logs.drain(logs.ingest(pushes, fx.repositories(spark, d), secret).select("event_id", "code", "detail"), f"{at}/out", f"{at}/state")
+    fx.push_events(spark, d, secret).write.json(f"{at}/in")
+    logs.drain(logs.ingest(logs.stream_bodies(spark, f"{at}/in"), fx.repositories(spark, d), secret).select("event_id", "code", "detail"), f"{at}/out", f"{at}/state")
     return spark.read.parquet(f"{at}/out")
 
 
@@ -553,8 +762,14 @@ def stream_tail(spark, d):
 @query("select pipeline_id, arg_max(phase, seq) as phase, arg_max(status, seq) as status, count(*) as n_events from phase_events group by pipeline_id", "phase_events")
 def stream_state(spark, d):
     at = logs.state_dir(spark)
-    logs.drain(logs.run_state(_phase_stream(spark, d, at)), f"{at}/out", f"{at}/state", mode="complete")
-    newest = spark.read.parquet(f"{at}/out")
-    last = newest.agg(F.max("batch")).first()[0]
-    return newest.filter(F.col("batch") == last).drop("batch")
+    logs.drain(logs.run_state(_phase_stream(spark, d, at)), f"{at}/out", f"{at}/state", mode="update")
+    return logs.newest_batch(spark, f"{at}/out", "pipeline_id")
+
 
+@query("""with r as (select min(pipeline_id) as run from phase_events where phase = 'error')
+  select seq, phase, status from phase_events, r where pipeline_id = run and seq <= (select min(seq) from phase_events, r where pipeline_id = run and phase = 'error')""", "phase_events")
+def stream_follow(spark, d):
+    """A live tail that ends at the run's first terminal entry."""
+    at, run = logs.state_dir(spark), fx.phase_events(spark, d).filter("phase = 'error'").agg(F.min("pipeline_id")).first()[0]
+    logs.follow(_phase_stream(spark, d, at), run, lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), f"{at}/state", wait=120)
+    return runs.until_terminal(spark.read.parquet(f"{at}/out")).select("seq", "phase", "status")

@@ -23,6 +23,11 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
+    return fs.exists(where)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The complete versions of a table, oldest first."""
     fs, where = _fs(spark, path)
@@ -65,8 +70,17 @@ def upsert(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return df.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
+def register(table: DataFrame, row: DataFrame, key: str = "id") -> DataFrame:
+    """A table with ``row`` added under the next key."""
+    return table.unionByName(row.withColumn(key, table.agg(F.coalesce(F.max(key), F.lit(0)) + 1).scalar()).select(*table.columns))
+
+
+def tolerant(lines: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Well-formed entries of JSON lines, and the malformed lines."""
+    parsed = lines.withColumn("_entry", F.from_json(column, schema)).withColumn("_ok", F.coalesce(F.schema_of_variant(F.try_parse_json(column)).startswith("OBJECT"), F.lit(False)))
+    return parsed.filter("_ok").select("_entry.*"), parsed.filter("not _ok").drop("_entry", "_ok")
+
+
 def read_json_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Well-formed entries of a JSON log, and the malformed lines."""
-    lines = spark.read.text(path)
-    parsed = lines.withColumn("entry", F.from_json("value", schema)).withColumn("ok", F.try_parse_json("value").isNotNull())
-    return parsed.filter("ok").select("entry.*"), parsed.filter("not ok").select("value")
+    return tolerant(spark.read.text(path), schema)
