@@ -53,6 +53,9 @@ class ForcedBoundaryCodec:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        odd = [t["content"] for t in spec["added_tokens"] if not t["special"] or any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]
+        if odd:
+            raise ValueError(f"added tokens that take in what stands around them aren't supported: {odd}")
         alphabet = byte_alphabet()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()

@@ -161,9 +161,13 @@ from d left join words using (doc_id) left join items using (doc_id)
 """
 
 _NEAR = _OP6[: _OP6.index("),\nk as")] + f"""),
-q as (select item_id, w[1:{NEAR_WORDS}] as q from b where len(w) > 0),
-s as (select doc_id, w[i:i + {NEAR_SPAN - 1}] as span from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d))
-select distinct doc_id, item_id from s, q where list_has_all(span, q)
+q as (select distinct item_id, unnest(w[1:{NEAR_WORDS}]) as term from b),
+n as (select item_id, count(*) as n from q group by item_id),
+t as (select doc_id, unnest(w) as term, unnest(range(len(w))) as pos from d),
+h as (select doc_id, item_id, pos, term from t join q using (term)),
+x as (select a.doc_id, a.item_id, a.pos, count(distinct b.term) as k from h a join h b on a.doc_id = b.doc_id and a.item_id = b.item_id and b.pos >= a.pos and b.pos < a.pos + {NEAR_SPAN}
+  group by a.doc_id, a.item_id, a.pos)
+select distinct doc_id, item_id from x join n using (item_id) where k = n
 """
 
 _OP8 = r"""

@@ -1,3 +1,5 @@
+import json
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -40,3 +42,13 @@ def test_table(documents, prose, monkeypatch, out_bytes):
     got = sorted((r["doc_id"], r["ids"], r["decoded"]) for r in bpe.bpe(documents.withColumnRenamed("lang", "ids"), PATH).collect())
     assert got == sorted((i, LIBRARY.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in prose)
     assert bpe.bpe(documents.limit(0), PATH).count() == 0
+
+
+def test_files_with_other_added_tokens_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"lstrip": True}, {"special": False}, {"single_word": True}):
+        odd = spec | {"added_tokens": [spec["added_tokens"][0] | change]}
+        (tmp_path / "odd.json").write_text(json.dumps(odd), encoding="utf-8")
+        with pytest.raises(ValueError, match="added tokens"):
+            bpe.ForcedBoundaryCodec(str(tmp_path / "odd.json"))
