@@ -47,7 +47,7 @@ def fixed4(x: Column) -> Column:
     n = ((sum_ - sum_ % per) / per).cast("bigint")  # whole, so the division is exact
     text = F.concat(F.floor(n / 10_000).cast("string"), F.lit("."), F.lpad((n % 10_000).cast("string"), 4, "0"))
     exact = F.when((x < 0), F.concat(F.lit("-"), text)).otherwise(text)
-    return F.when(size < 2.0**19, exact).otherwise(F.format_string("%.4f", x))
+    return F.when(size < 2.0**19, exact).when(x.isNotNull(), F.format_string("%.4f", x))
 
 
 def value_text(value: Column) -> Column:
