@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -57,19 +58,39 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
         _cleaned.add(base)
         atexit.register(_at_exit, spark, base)
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (weakref.ref(out), path)
+    _made.append((weakref.ref(out), path))
     return out
 
 
-_paths: dict[int, tuple[weakref.ref, str]] = {}
+#: What ``cut`` made and wasn't removed, in order.
+_made: list[tuple[weakref.ref, str]] = []
 
 
 def discard(*frames: DataFrame) -> None:
     """Removes the files of frames that ``cut`` gave and that nothing unread depends on any more."""
-    for df in frames:
-        held = _paths.pop(id(df), None)
-        if held is not None and held[0]() is df:
-            _remove(df.sparkSession, held[1])
+    for held in [x for x in _made if any(x[0]() is df for df in frames)]:
+        _made.remove(held)
+        _remove(frames[0].sparkSession, held[1])
+
+
+def made() -> int:
+    """A mark for ``release``."""
+    return len(_made)
+
+
+def release(since: int, *kept: DataFrame) -> None:
+    """Removes what ``cut`` has made since the mark, but for ``kept`` (at least one), and lets Spark remove shuffle files that nothing refers to."""
+    spark = kept[0].sparkSession
+    for held in [x for x in _made[since:] if not any(x[0]() is df for df in kept)]:
+        _made.remove(held)
+        _remove(spark, held[1])
+    free(spark)
+
+
+def free(spark: SparkSession) -> None:
+    """Has the driver collect its garbage; with dead frames go their shuffle files, which else stay until it happens to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, made, release
 
 #: Consecutive item words in a window.
 WINDOW = 10
@@ -135,6 +135,7 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, distance: int, id_: s
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row a document: id, n_words, n_hit, spans (hit windows), items (sorted ids, as strings, of items with an occurring window)."""
+    since = made()
     index, rows = build_index(docs, id_, text)
     items = cut(benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("words")).filter(F.size("words") > 0).withColumn("item", F.monotonically_increasing_id()), "items")
     terms = cut(items.select(F.explode("words").alias("term")).distinct(), "terms")
@@ -143,6 +144,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     named = matches.join(_bounded(cut(items.select("item", F.col("item_id").cast("string").alias("item_id")), "names")), "item")
     found = named.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     none = F.array().cast("array<string>")
+    found, rows = cut(found, "found"), cut(rows, "rows")
+    release(since, found, rows)
     out = rows.join(found, "row", "left")
     return out.select(F.col("id").alias(id_), "n_words", _covered("spans").alias("n_hit"), F.size(F.coalesce("items", none)).cast("bigint").alias("n_items"), F.coalesce("items", none).alias("items"), "spans")
 

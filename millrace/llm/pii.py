@@ -35,7 +35,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, discard, has_bit
+from .common import bitmap, cut, discard, has_bit, made, release
 
 #: The key of the pipeline's and the query's surrogates; a deployment passes its own.
 KEY = "surrogates-1"
@@ -267,7 +267,9 @@ def _item_key(kind: Column, canon: Column) -> Column:
 
 def replace_pii(df: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """``df`` with ``text`` rewritten, and ``entities``: (type, value, surrogate) in order."""
+    since = made()
     again = cut(exceptions(df, key, text).select(_item_key(F.col("kind"), F.col("canon")).alias("item"), "draw"), "exceptions")
+    release(since, again)
     n = again.count()
     rows = df.drop("entities") if "entities" in df.columns else df
     found = rows.withColumn("_found", entities_of(F.col(text)))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, having, skewed_left_join
+from .common import cut, discard, free, having, made, release, skewed_left_join
 
 #: Rows that are at home in a node of the first cut, about; rows of a group at most; levels that larger groups go down at once.
 NODE_ROWS, GROUP, LEVELS = 1 << 13, 1 << 20, 6
@@ -334,6 +334,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def simhash_components(df: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 3, budget: int = BUDGET) -> DataFrame:
     """(id, fingerprint in hex, component_id): texts whose 64-bit fingerprints differ in ``budget`` bits at most are linked."""
+    since = made()
     prints = cut(with_fingerprint(df.select(F.col(id_).alias("id"), F.col(text).alias("text")), words, 1), "prints")
     classes = cut(prints.groupBy("fingerprint").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("key", _long("fingerprint", 0)), "classes")
     found = components(trie_self_join(classes.select("key"), budget))
@@ -341,6 +342,8 @@ def simhash_components(df: DataFrame, id_: str = "doc_id", text: str = "text", w
     least = parted.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = parted.join(least, "component").select("fingerprint", "n", "component_id")
     total = classes.agg(F.sum("n")).first()[0] or 0
+    label = cut(label, "labels")
+    release(since, prints, label)
     out = skewed_left_join(prints, label, "fingerprint", "n", total, F.xxhash64("id"))
     return out.select(F.col("id").alias(id_), F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
@@ -439,28 +442,57 @@ def _can_be_alike(a: str, b: str):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * PER_CENT) & (after * (100 + PER_CENT) >= (n + m) * PER_CENT)
 
 
-def alike(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of ``rows`` (number, text) whose sets are alike to COPY_SIMILARITY or more."""
+def _narrow(text: str | None) -> bytes:
+    """A set's size and the distinct highest 16 bits of its hashes: a quarter of the set, which bounds what two sets share."""
+    own = _set(text)
+    return np.int32(len(own)).tobytes() + np.unique((own >> np.uint64(48)).astype(np.uint16)).tobytes()
+
+
+def _may_be_alike(a: bytes, b: bytes) -> bool:
+    """Whether sets of these ``_narrow`` forms can be alike: false only if they aren't."""
+    (n, m), (x, y) = (int(np.frombuffer(s, dtype=np.int32, count=1)[0]) for s in (a, b)), (np.frombuffer(s, dtype=np.uint16, offset=4) for s in (a, b))
+    most = min(len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y)), n, m)
+    return most * 100 >= PER_CENT * (n + m - most)
+
+
+def _are_alike(a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared * 100 >= PER_CENT * (len(x) + len(y) - shared)
+
+
+def _compared(rows: DataFrame, pairs: DataFrame, form, good) -> DataFrame:
+    """The ``pairs`` (a, b) of ``rows`` (number, text) that are ``good`` by the ``form`` of their texts."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array([_set(x.as_py()).tobytes() for x in batch.column("text")], pa.binary())], names=["number", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array([form(x.as_py()) for x in batch.column("text")], pa.binary())], names=["number", "form"])
 
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "ids")
-    own = cut(having(rows.select("number", "text"), ids).mapInArrow(sets, "number bigint, shingles binary"), "compared")
-    both = pairs.join(own.select(F.col("number").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("number").alias("b"), F.col("shingles").alias("y")), "b")
+    own = cut(having(rows.select("number", "text"), ids).mapInArrow(forms, "number bigint, form binary"), "compared")
+    both = pairs.join(own.select(F.col("number").alias("a"), F.col("form").alias("x")), "a").join(own.select(F.col("number").alias("b"), F.col("form").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(shared * 100 >= PER_CENT * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            kept = [good(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     out = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "alike")
     discard(ids, own)
+    del both, own, ids
+    free(rows.sparkSession)
+    return out
+
+
+def alike(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of ``rows`` (number, text) whose sets are alike to COPY_SIMILARITY or more.
+
+    What is shuffled for most pairs that aren't is a quarter of a set; the pairs
+    that are left are compared on the whole sets.
+    """
+    near = _compared(rows, pairs, _narrow, _may_be_alike)
+    out = _compared(rows, near, lambda text: _set(text).tobytes(), _are_alike)
+    discard(near)
     return out
 
 
@@ -523,7 +555,7 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     unchecked, fingerprints and then prefixes bring together every pair that
     can be alike, and each link is checked on the whole sets.
     """
-    total = rows.count()
+    total, since = rows.count(), made()
     prefixes = cut(shingle_prefixes(rows, frequent_shingles(rows, total)), "prefixes")
     classes = cut(prefixes.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("number").alias("number")), "classes")
     n_classes = classes.count()
@@ -538,7 +570,9 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     grouped = classes.join(found, classes["number"] == found["id"], "left").select("digest", "rep", "n", F.coalesce("component", "number").alias("group"))
     first = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
     label = cut(grouped.join(first, "group").select("digest", "n", "group", "component_id"), "labels")
-    return skewed_left_join(prefixes.select("number", "id", "digest"), label, "digest", "n", total, F.col("number")).select("number", "id", "group", "component_id")
+    members = cut(prefixes.select("number", "id", "digest"), "members")
+    release(since, members, label)
+    return skewed_left_join(members, label, "digest", "n", total, F.col("number")).select("number", "id", "group", "component_id")
 
 
 def near_copies(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
