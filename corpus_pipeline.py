@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, pii, quality, queries, simhash
-from millrace.llm.common import cut, having, table
+from millrace.llm.common import cut, having, made, release, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,12 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A row is judged by its own text, whatever other rows have its id; a null id comes last.
     """
     queries.small_batches(spark)
+    since = made()
     rows = cut(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("number")), "numbered")
     groups = simhash.copy_groups(rows.select("number", "doc.doc_id", "doc.text").withColumnRenamed("doc_id", "id"))
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("first"))
     kept = cut(first.select("first.number"), "kept")
+    release(since, rows, kept)
     return having(rows, kept).select("doc.*")
 
 
@@ -39,9 +41,11 @@ def text_digest() -> Column:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item, each judged by its own text."""
-    named = docs.withColumn("_digest", text_digest())
+    since, named = made(), docs.withColumn("_digest", text_digest())
     found = decontam.contamination(named, table(spark, sf_dir, "benchmark"), id_="_digest").filter("n_hit > 0").select("_digest").distinct()
-    return having(named, cut(found, "hit"), "left_anti").select(*docs.columns)
+    found = cut(found, "hit")
+    release(since, found)
+    return having(named, found, "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
