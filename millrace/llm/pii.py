@@ -73,7 +73,7 @@ TYPES = [
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in TYPES).replace(r"([ \-]?)", r"(?<sep>[ \-]?)").replace(r"\1", r"\k<sep>")
 #: What every entity has; a text without it is not searched.
-GATE = r"[0-9@]|assw|ecret|oken|api_?key|AKIA|(?i:passw|secret|token)|" + "|".join(FEMALE + MALE + GIVEN_FEMALE + GIVEN_MALE)
+GATE = r"[0-9@]|assw|ecret|oken|api_?key|AKIA|(?i:passw|secret|token)|(?=\p{Lu})(?:" + "|".join(FEMALE + MALE + GIVEN_FEMALE + GIVEN_MALE) + ")"
 _PREFIX = r"^((?:\p{L}|_)+\s*[=:]\s*[\"']?)"
 
 
