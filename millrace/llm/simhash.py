@@ -56,8 +56,8 @@ COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 PER_CENT = round(100 * COPY_SIMILARITY)
 #: Sets that shingles are counted in to order them, the count of a frequent one, and such shingles at most.
 SAMPLE_SETS, FREQUENT, MOST_FREQUENT = 20_000, 8, 1 << 16
-#: Open pairs a class up to which all are compared at once; postings of a shingle in a block.
-PAIRS_A_CLASS, BLOCK = 4, 4096
+#: Open pairs a class up to which rounds end; sets of a shingle up to which all its pairs are compared; factor between steps of distances.
+PAIRS_A_CLASS, BLOCK, STEP = 4, 16, 1.1
 
 
 def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -364,6 +364,14 @@ def _set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, COPY_WORDS)]))
 
 
+def _ranks(tokens: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The place of each shingle among the frequent ones (``known`` ascending, its ``ranks``), from one; zero for all others."""
+    if not len(known):
+        return np.zeros(len(tokens), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return np.where(known[at] == tokens, ranks[at], 0)
+
+
 def frequent_shingles(rows: DataFrame, total: int) -> np.ndarray:
     """Shingles that many of SAMPLE_SETS texts hold, rarest first. They only order the shingles: any order gives the same pairs."""
     some = rows if total <= SAMPLE_SETS else rows.filter(F.pmod(F.xxhash64("number"), F.lit(total)) < SAMPLE_SETS)
@@ -403,12 +411,10 @@ def shingle_prefixes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                 key = int(np.packbits(bit_counts(own[:, None]) * 2 > len(own), bitorder="little").view("<i8")[0])
                 plain = most = len(own) - _least_shared(len(own)) + 1 if len(own) else 0
                 n = len(own)
-                if len(known) and n:
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    rank = np.where(known[at] == own, ranks[at], 0)
-                    if rank.any():
-                        plain = min(most, int((rank == 0).sum()))
-                        own = own[np.argsort(rank, kind="stable")]
+                rank = _ranks(own, known, ranks)
+                if rank.any():
+                    plain = min(most, int((rank == 0).sum()))
+                    own = own[np.argsort(rank, kind="stable")]
                 out.append((digest, key, n, plain, own[:most].tobytes()))
             columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("number"), *columns], names=["id", "number", "digest", "key", "size", "plain", "prefix"])
@@ -461,15 +467,19 @@ def _are_alike(a: bytes, b: bytes) -> bool:
     return shared * 100 >= PER_CENT * (len(x) + len(y) - shared)
 
 
-def _compared(rows: DataFrame, pairs: DataFrame, form, good) -> DataFrame:
-    """The ``pairs`` (a, b) of ``rows`` (number, text) that are ``good`` by the ``form`` of their texts."""
+def _formed(rows: DataFrame, numbers: DataFrame, form) -> DataFrame:
+    """(number, form): the ``form`` of the texts of those ``rows`` (number, text) that are among ``numbers``."""
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array([form(x.as_py()) for x in batch.column("text")], pa.binary())], names=["number", "form"])
 
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "ids")
-    own = cut(having(rows.select("number", "text"), ids).mapInArrow(forms, "number bigint, form binary"), "compared")
+    return having(rows.select("number", "text"), cut(numbers, "ids")).mapInArrow(forms, "number bigint, form binary")
+
+
+def _compared(rows: DataFrame, pairs: DataFrame, form, good) -> DataFrame:
+    """The ``pairs`` (a, b) of ``rows`` (number, text) that are ``good`` by the ``form`` of their texts."""
+    own = cut(_formed(rows, pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), form), "compared")
     both = pairs.join(own.select(F.col("number").alias("a"), F.col("form").alias("x")), "a").join(own.select(F.col("number").alias("b"), F.col("form").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,8 +488,8 @@ def _compared(rows: DataFrame, pairs: DataFrame, form, good) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     out = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "alike")
-    discard(ids, own)
-    del both, own, ids
+    discard(own)
+    del both, own
     free(rows.sparkSession)
     return out
 
@@ -496,13 +506,91 @@ def alike(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def alike_links(rows: DataFrame, postings: DataFrame, links: DataFrame, classes: int) -> DataFrame:
+def _differing(own: np.ndarray, pivot: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The shingles that a set and a pivot don't share, in an order common to all sets: those the pivot lacks, rarest first; then the pivot's, those it has to itself last."""
+    more, less = np.setdiff1d(own, pivot, assume_unique=True), np.setdiff1d(pivot, own, assume_unique=True)
+    return np.concatenate((more[np.argsort(_ranks(more, known, ranks), kind="stable")], less[np.argsort(_ranks(less, known, ranks) == 0, kind="stable")]))
+
+
+def _step(apart: np.ndarray | int) -> np.ndarray:
+    return np.floor(np.log(np.maximum(apart, 1)) / np.log(STEP)).astype(np.int32)
+
+
+def pivot_postings(rows: DataFrame, stars: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(pivot, token, step, number, part, size, apart, pos, nearer) for ``stars`` (number, part, pivot): prefixes of what sets and their pivots don't share.
+
+    Let D be what a set x and the pivot don't share, ``apart`` its size, so two
+    sets differ in what their D differ in. Sets alike of sizes n and m differ in
+    d = (n + m) (1 - COPY_SIMILARITY) / (1 + COPY_SIMILARITY) shingles at most, so
+    their D share (apart + apart' - d) / 2 or more: the first shared one is among
+    the first d / 2 + 1 of the nearer set's and the first d + 1 of the other's, and
+    these are what comes back. If none need be shared, both are alike to the
+    pivot. Of many sets edited from one, D begins with what each has to itself,
+    so those that aren't alike to the rest don't meet it. A nearer set's posting
+    stands at each step of distance at which a set may be that it can be alike to.
+    """
+    order = np.argsort(frequent)
+    sent = rows.sparkSession.sparkContext.broadcast((frequent[order], (order + 1).astype(np.int64)))
+    own = cut(_formed(rows, stars.select("number").unionByName(stars.select(F.col("pivot").alias("number"))).distinct(), lambda text: _set(text).tobytes()), "compared")
+    both = stars.join(own.withColumnRenamed("form", "x"), "number").join(own.select(F.col("number").alias("pivot"), F.col("form").alias("y")), "pivot").select("number", "part", "pivot", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = sent.value
+        for batch in batches:
+            for number, part, pivot, *held in zip(*(batch.column(c).to_pylist() for c in ("number", "part", "pivot", "x", "y")), strict=True):
+                x, y = (np.frombuffer(h, dtype=np.uint64) for h in held)
+                n, differ = len(x), _differing(x, y, known, ranks).view(np.int64)
+                apart, most = len(differ), (n + 100 * n // PER_CENT) * (100 - PER_CENT) // (100 + PER_CENT)
+                far = np.arange(min(apart, most + 1), dtype=np.int32)
+                near = far[: most // 2 + 1]
+                first, last = _step(apart), _step(apart + most - 2 * near)
+                times = last - first + 1
+                pos = np.concatenate((far, np.repeat(near, times)))
+                step = np.concatenate((np.full(len(far), first), first + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))).astype(np.int32)
+                for i in range(0, len(pos), 1 << 16):
+                    k = slice(i, i + (1 << 16))
+                    m = len(pos[k])
+                    fixed = [np.full(m, v, dtype=t) for v, t in ((number, np.int64), (part, np.int64), (n, np.int32), (apart, np.int32))]
+                    columns = (np.full(m, pivot, dtype=np.int64), differ[pos[k]], step[k], *fixed, pos[k], np.arange(i, i + m) >= len(far))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pivot", "token", "step", "number", "part", "size", "apart", "pos", "nearer"])
+
+    out = cut(both.mapInArrow(run, "pivot bigint, token bigint, step int, number bigint, part bigint, size int, apart int, pos int, nearer boolean"), "differing")
+    discard(own)
+    return out
+
+
+def _met_at_pivots(postings: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``pivot_postings``, which are removed, that may be alike sets of different parts."""
+    keys = ["pivot", "token", "step"]
+    several = postings.groupBy(*keys).agg(F.min("part").alias("least"), F.max("part").alias("most"), F.bool_or("nearer").alias("one"), F.bool_and("nearer").alias("all")).filter("least <> most and one and not all").select(*keys)
+    rows = cut(postings.join(several, keys), "meeting")
+    a, b = rows.filter("nearer").alias("a"), rows.filter(~F.col("nearer")).alias("b")
+    n, m, x, y = F.col("a.size"), F.col("b.size"), F.col("a.apart"), F.col("b.apart")
+    after = F.least(x - F.col("a.pos"), y - F.col("b.pos"))
+    ordered = (x < y) | ((x == y) & (F.col("a.number") < F.col("b.number")))
+    good = (F.least(n, m) * 100 >= F.greatest(n, m) * PER_CENT) & (2 * after * (100 + PER_CENT) >= (x + y) * (100 + PER_CENT) - (n + m) * (100 - PER_CENT))
+    met = _pairs(a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.part") != F.col("b.part"), ordered, good]))
+    discard(postings, rows)
+    return met
+
+
+def _middle(postings: DataFrame, turn: int) -> DataFrame:
+    """One posting of each shingle: first of a set that has fewest rarer shingles, as the one has that others were edited from; in later turns of any set."""
+    first = F.col("pos") if turn == 0 else F.lit(0)
+    row = F.struct(first.alias("first"), F.xxhash64(F.col("number"), F.lit(turn)).alias("h"), "number", "size", "pos", "part")
+    return postings.groupBy("token").agg(F.min(row).alias("m")).select("token", "m.number", "m.size", "m.pos", "m.part")
+
+
+def alike_links(rows: DataFrame, postings: DataFrame, links: DataFrame, classes: int, frequent: np.ndarray) -> DataFrame:
     """``links`` (a, b) of alike sets and more of them, so that they connect what all pairs alike connect.
 
     ``postings`` (token, number, size, pos) hold each set's prefix. In a round
     each shingle's sets are compared with one of them; links found join parts,
     and only pairs between different parts stay open. When a round no longer
-    halves the open pairs, or few are left, every open pair is compared.
+    halves the open pairs, or few are left, the rest is found: all open pairs of
+    shingles of BLOCK sets or fewer are compared, the sets of each other shingle
+    get one of them as a pivot and are compared if what they and the pivot don't
+    share brings them together (``pivot_postings``).
     """
     before, turn = None, 0
     while True:
@@ -519,18 +607,19 @@ def alike_links(rows: DataFrame, postings: DataFrame, links: DataFrame, classes:
         discard(parts, open_)
         if left <= PAIRS_A_CLASS * classes or (before is not None and left > before / 2):
             break
-        row = F.struct(F.xxhash64(F.col("number"), F.lit(turn)).alias("h"), "number", "size", "pos", "part")
-        middle = at.groupBy("token").agg(F.min(row).alias("m")).select("token", "m.*")
-        near = at.alias("a").join(middle.alias("b"), "token").filter("a.part <> b.part").filter(_can_be_alike("a", "b"))
+        near = at.alias("a").join(_middle(at, turn).alias("b"), "token").filter("a.part <> b.part").filter(_can_be_alike("a", "b"))
         links = cut(links.unionByName(alike(rows, _pairs(near))), "links")
         postings = at.drop("n", "part")
         before, turn = left, turn + 1
-    # blocks of a frequent shingle's sets meet in separate tasks
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    one = at.withColumn("block", F.pmod(F.xxhash64("number"), blocks).cast("int"))
-    other = at.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = one.alias("a").join(other.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.number") < F.col("b.number")) & (F.col("a.part") != F.col("b.part")) & _can_be_alike("a", "b"))
-    return cut(links.unionByName(alike(rows, _pairs(rest))), "links")
+    few = at.filter(F.col("n") <= BLOCK)
+    rest = _pairs(few.alias("a").join(few.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.number") < F.col("b.number")) & (F.col("a.part") != F.col("b.part")) & _can_be_alike("a", "b")))
+    pivots = _middle(at, 0).select("token", F.col("number").alias("pivot"), F.col("part").alias("pivot_part"))
+    stars = cut(at.filter(F.col("n") > BLOCK).join(pivots, "token").filter("number <> pivot").select("number", "part", "pivot", "pivot_part").distinct(), "stars")
+    if not stars.isEmpty():
+        met = _met_at_pivots(pivot_postings(rows, stars.drop("pivot_part"), frequent))
+        own = stars.filter("part <> pivot_part").select(F.least("number", "pivot").alias("a"), F.greatest("number", "pivot").alias("b"))
+        rest = cut(rest.unionByName(met).unionByName(own).distinct(), "candidates")
+    return cut(links.unionByName(alike(rows, rest)), "links")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -556,7 +645,8 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     can be alike, and each link is checked on the whole sets.
     """
     total, since = rows.count(), made()
-    prefixes = cut(shingle_prefixes(rows, frequent_shingles(rows, total)), "prefixes")
+    frequent = frequent_shingles(rows, total)
+    prefixes = cut(shingle_prefixes(rows, frequent), "prefixes")
     classes = cut(prefixes.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("number").alias("number")), "classes")
     n_classes = classes.count()
     sets = prefixes if n_classes == total else prefixes.join(classes.select("number"), "number", "left_semi")
@@ -566,7 +656,7 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     every = Window.partitionBy("token")
     rare = postings.filter(~F.col("often")).withColumn("_n", F.count(F.lit(1)).over(every)).filter("_n > 1")
     columns = ["token", "number", "size", "pos"]
-    found = components(alike_links(rows, cut(rare.select(columns).unionByName(postings.filter("often").select(columns)), "shared"), links, n_classes))
+    found = components(alike_links(rows, cut(rare.select(columns).unionByName(postings.filter("often").select(columns)), "shared"), links, n_classes, frequent))
     grouped = classes.join(found, classes["number"] == found["id"], "left").select("digest", "rep", "n", F.coalesce("component", "number").alias("group"))
     first = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
     label = cut(grouped.join(first, "group").select("digest", "n", "group", "component_id"), "labels")

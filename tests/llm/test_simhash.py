@@ -187,3 +187,47 @@ def test_trie_links(values, budget):
     finally:
         simhash.LEAF_PAIRS = old
     assert found == {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if int(np.bitwise_count(keys[i] ^ keys[j])) <= budget}
+
+
+def edited(rng, base, n, edits):
+    """A text of ``base`` with ``edits`` of its words, far from each other, replaced by its own."""
+    own = list(base)
+    for k in rng.permutation(len(base) // 6)[:edits]:
+        own[6 * int(k) + 2] = f"x{n}k{k}"
+    return " ".join(own)
+
+
+def test_sets_around_one_are_not_compared_with_each_other(spark, monkeypatch):
+    """Sets edited from one, most of them alike to it and not to each other: candidates grow as the group, not its square."""
+    rng, base, counts = np.random.default_rng(5), [f"w{k}" for k in range(304)], []
+    compared = simhash._compared
+
+    def counting(rows, pairs, form, good):
+        counts.append(pairs.count())
+        return compared(rows, pairs, form, good)
+
+    monkeypatch.setattr(simhash, "_compared", counting)
+    texts = [edited(rng, base, n, int(rng.integers(4, 8))) for n in range(180)] + [" ".join(base)]
+    assert near_groups(spark, texts) == brute_near_groups(texts)
+    assert max(counts) < 6 * len(texts)
+
+
+def test_pivots_lose_no_pair(spark, monkeypatch):
+    """Groups around texts that aren't in the table, by additions, deletions and replacements, with chains, through every path."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(60 + 50 * g)]
+        for n in range(30):
+            own = list(base)
+            for _ in range(int(rng.integers(1, 4))):
+                at, length = int(rng.integers(0, len(own) - 8)), int(rng.integers(1, 8))
+                own[at : at + length] = [f"g{g}e{rng.integers(0, 6)}w{k}" for k in range(int(rng.integers(0, 8)))]
+            texts.append(" ".join(own))
+    want = brute_near_groups(texts)
+    assert len(set(want.values())) > 8
+    monkeypatch.setattr(simhash, "BLOCK", 2)
+    for pairs, frequent in ((4, 8), (0, 1000)):
+        monkeypatch.setattr(simhash, "PAIRS_A_CLASS", pairs)
+        monkeypatch.setattr(simhash, "FREQUENT", frequent)
+        assert near_groups(spark, texts) == want
