@@ -57,7 +57,7 @@ PER_CENT = round(100 * COPY_SIMILARITY)
 #: Sets that shingles are counted in to order them, the count of a frequent one, and such shingles at most.
 SAMPLE_SETS, FREQUENT, MOST_FREQUENT = 20_000, 8, 1 << 16
 #: Open pairs a class up to which rounds end; sets of a shingle up to which all its pairs are compared; factor between steps of distances.
-PAIRS_A_CLASS, BLOCK, STEP = 4, 16, 1.1
+PAIRS_A_CLASS, BLOCK, STEP = 4, 64, 1.1
 
 
 def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
