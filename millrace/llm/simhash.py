@@ -56,8 +56,10 @@ COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 PER_CENT = round(100 * COPY_SIMILARITY)
 #: Sets that shingles are counted in to order them, the count of a frequent one, and such shingles at most.
 SAMPLE_SETS, FREQUENT, MOST_FREQUENT = 20_000, 8, 1 << 16
+#: Prefixes up to which a shingle may stand in without being put last, and shingles put last for that at most.
+POPULAR, MOST_POPULAR = 8, 1 << 19
 #: Open pairs a class up to which rounds end; sets of a shingle up to which all its pairs are compared; factor between steps of distances.
-PAIRS_A_CLASS, BLOCK, STEP = 4, 64, 1.1
+PAIRS_A_CLASS, BLOCK, STEP = 4, 16, 1.1
 
 
 def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -388,6 +390,18 @@ def frequent_shingles(rows: DataFrame, total: int) -> np.ndarray:
     return got["token"].to_numpy()[::-1].view(np.uint64)
 
 
+def popular_shingles(sets: DataFrame, frequent: np.ndarray) -> np.ndarray:
+    """The shingles that stand in over POPULAR of the prefixes of ``sets`` and then ``frequent``, rarest first.
+
+    A sample can't tell a shingle that a hundred of many millions of texts hold;
+    counted in all prefixes and put last, it leaves most of them. Like a sample it
+    only orders the shingles.
+    """
+    counts = postings_of(sets).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > POPULAR)
+    found = counts.orderBy(F.desc("n"), "token").limit(MOST_POPULAR).toArrow()["token"].to_numpy()[::-1].view(np.uint64)
+    return np.concatenate((found[~np.isin(found, frequent)], frequent))
+
+
 def shingle_prefixes(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(id, number, digest, key, size, plain, prefix) of ``rows`` (id, number, text).
 
@@ -441,6 +455,29 @@ def postings_of(prefixes: DataFrame) -> DataFrame:
     return prefixes.select("number", "size", "plain", "prefix").mapInArrow(run, "token bigint, number bigint, size int, pos int, often boolean")
 
 
+def shared_postings(sets: DataFrame) -> DataFrame:
+    """(token, number, size, pos) of the shingles that prefixes of several ``sets`` hold; of shingles that the same sets hold, of the first alone.
+
+    The first shingle that two sets share is the first that all sets which hold it
+    share, since the order is common, so no pair is lost and each passage counts
+    once. Which sets hold a shingle is told by their number, the smallest and 128
+    bits of hash. Shingles put last may be in very many sets, so no window is
+    laid over those.
+    """
+    postings, columns = postings_of(sets), ["token", "number", "size", "pos"]
+    held = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("number")), F.bit_xor(F.xxhash64("number", F.lit(1))), F.min("number"), F.sum("pos")]
+    names, every = ["n", "x", "y", "least", "at"], Window.partitionBy("token")
+    rare = postings.filter(~F.col("often")).select(*columns, "often", F.struct(*[c.over(every).alias(k) for c, k in zip(held, names, strict=True)]).alias("held")).filter("held.n > 1")
+    rare = rare.withColumn("held", F.when(F.col("held.least") == F.col("number"), F.col("held")))
+    counted = cut(rare.unionByName(postings.filter("often").select(*columns, "often"), allowMissingColumns=True), "counted")
+    lists = counted.filter("often").groupBy("token").agg(*[c.alias(k) for c, k in zip(held, names, strict=True)]).filter("n > 1")
+    lists = lists.unionByName(counted.filter("held is not null").select("token", "held.*"))
+    first = cut(lists.groupBy(*names[:-1]).agg(F.min(F.struct("at", "token")).alias("first")).select("first.token"), "firsts")
+    out = cut(having(counted, first).select(columns), "shared")
+    discard(counted, first)
+    return out
+
+
 def _can_be_alike(a: str, b: str):
     """Whether two postings of one shingle may be the first that two alike sets share: by sizes, and by what follows it in both."""
     n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
@@ -649,14 +686,16 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     prefixes = cut(shingle_prefixes(rows, frequent), "prefixes")
     classes = cut(prefixes.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("number").alias("number")), "classes")
     n_classes = classes.count()
-    sets = prefixes if n_classes == total else prefixes.join(classes.select("number"), "number", "left_semi")
-    links = _fingerprint_links(rows, sets.select("number", "key"))
-    postings = postings_of(sets)
-    # a shingle in the prefix of one set alone brings nothing together; frequent ones stay without being counted
-    every = Window.partitionBy("token")
-    rare = postings.filter(~F.col("often")).withColumn("_n", F.count(F.lit(1)).over(every)).filter("_n > 1")
-    columns = ["token", "number", "size", "pos"]
-    found = components(alike_links(rows, cut(rare.select(columns).unionByName(postings.filter("often").select(columns)), "shared"), links, n_classes, frequent))
+    chosen = lambda: prefixes if n_classes == total else prefixes.join(classes.select("number"), "number", "left_semi")
+    popular = popular_shingles(chosen(), frequent)
+    if len(popular) > len(frequent):
+        frequent, old = popular, prefixes
+        prefixes = cut(shingle_prefixes(rows, frequent), "prefixes")
+        discard(old)
+        del old
+    free(rows.sparkSession)
+    links = _fingerprint_links(rows, chosen().select("number", "key"))
+    found = components(alike_links(rows, shared_postings(chosen()), links, n_classes, frequent))
     grouped = classes.join(found, classes["number"] == found["id"], "left").select("digest", "rep", "n", F.coalesce("component", "number").alias("group"))
     first = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
     label = cut(grouped.join(first, "group").select("digest", "n", "group", "component_id"), "labels")

@@ -231,3 +231,33 @@ def test_pivots_lose_no_pair(spark, monkeypatch):
         monkeypatch.setattr(simhash, "PAIRS_A_CLASS", pairs)
         monkeypatch.setattr(simhash, "FREQUENT", frequent)
         assert near_groups(spark, texts) == want
+
+
+def shared(spark, texts, monkeypatch):
+    """The groups of ``texts``, and how many postings went into their comparison."""
+    counts, links = [], simhash.alike_links
+
+    def counting(rows, postings, *rest):
+        counts.append(postings.count())
+        return links(rows, postings, *rest)
+
+    monkeypatch.setattr(simhash, "alike_links", counting)
+    return near_groups(spark, texts), counts[0]
+
+
+def test_a_shared_passage_counts_once(spark, monkeypatch):
+    """Pairs below the similarity share some 50 shingles of their prefixes, which the same two sets hold: one posting each."""
+    rng = np.random.default_rng(7)
+    texts = [edited(rng, [f"g{g}w{k}" for k in range(304)], 10 * g + n, 8) for g in range(40) for n in range(2)]
+    got, n = shared(spark, texts, monkeypatch)
+    assert got == brute_near_groups(texts) and n == len(texts)
+
+
+def test_shingles_that_a_sample_misses_are_put_last(spark, monkeypatch):
+    """Two lines that 120 texts hold, of which a sample of about ten shows nothing: no prefix needs them."""
+    monkeypatch.setattr(simhash, "SAMPLE_SETS", 10)
+    monkeypatch.setattr(simhash, "FREQUENT", 100)
+    lines = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    texts = [f"{lines[0]} " + " ".join(f"n{n}k{k}" for k in range(60)) + f" {lines[1]}" for n in range(120)]
+    got, n = shared(spark, texts, monkeypatch)
+    assert got == {i: i for i in range(120)} and n == 0
